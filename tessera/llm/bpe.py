@@ -195,7 +195,7 @@ def _texts(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 def _mapped(df: DataFrame, add: dict[str, str], work) -> DataFrame:
     kept = df.drop(*add)
-    schema = kept.schema
+    names, schema = kept.columns, kept.schema
     for name, kind in add.items():
         schema = schema.add(name, T.ArrayType(T.IntegerType()) if kind == "array<int>" else T.StringType())
 
@@ -203,8 +203,8 @@ def _mapped(df: DataFrame, add: dict[str, str], work) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 b = batch.slice(lo, 256)
-                cols = [b.column(n) for n in kept.columns] + work(b)
-                yield pa.RecordBatch.from_arrays(cols, names=[*kept.columns, *add])
+                cols = [b.column(n) for n in names] + work(b)
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, *add])
 
     return df.mapInArrow(run, schema)
 
