@@ -195,7 +195,7 @@ def _texts(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 def _mapped(df: DataFrame, add: dict[str, str], work) -> DataFrame:
     kept = df.drop(*add)
-    names, schema = kept.columns, kept.schema
+    names, schema = kept.columns, T.StructType(list(kept.schema.fields))
     for name, kind in add.items():
         schema = schema.add(name, T.ArrayType(T.IntegerType()) if kind == "array<int>" else T.StringType())
 

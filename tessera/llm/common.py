@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str = "text", limit: int = CH
     for b in batch.to_batches() if isinstance(batch, pa.Table) else [batch]:
         if not b.num_rows:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         piece = np.cumsum(sizes) // limit
         cuts = np.flatnonzero(np.diff(piece)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
@@ -73,7 +74,7 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str = "text", limit: int = CH
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and offsets; a null is empty."""
     if col.null_count:
-        col = pa.compute.fill_null(col, b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
+        col = pc.fill_null(col, b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
     wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
     _, off, data = col.buffers()
     if off is None:
