@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language
+from . import bpe, decontaminate, language, minhash
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -26,9 +26,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_language": op3_language,
     "op9_bpe": op9_bpe,
+    "op10_dart_minhash": op10_dart_minhash,
 }
 ORACLES: dict[str, str] = {}
