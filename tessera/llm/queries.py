@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, minhash
+from . import bpe, decontaminate, language, minhash, superkmer
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -22,6 +22,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
 
+def op5_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -33,6 +37,7 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_language": op3_language,
+    "op5_superkmer": op5_superkmer,
     "op9_bpe": op9_bpe,
     "op10_dart_minhash": op10_dart_minhash,
 }
