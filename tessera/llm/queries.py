@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, minhash, superkmer
+from . import bpe, decontaminate, language, minhash, suffix, superkmer
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op5_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_language": op3_language,
     "op5_superkmer": op5_superkmer,
+    "op7_suffix_array": op7_suffix_array,
     "op9_bpe": op9_bpe,
     "op10_dart_minhash": op10_dart_minhash,
 }
