@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, minhash, suffix, superkmer
+from . import bpe, decontaminate, language, minhash, scoring, suffix, superkmer
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -30,6 +30,11 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = scoring.trained_on(table(spark, sf_dir, "labels"))
+    return scoring.score(table(spark, sf_dir, "documents"), target)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op5_superkmer": op5_superkmer,
     "op7_suffix_array": op7_suffix_array,
+    "op8_cross_entropy": op8_cross_entropy,
     "op9_bpe": op9_bpe,
     "op10_dart_minhash": op10_dart_minhash,
 }
