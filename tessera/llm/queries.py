@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, minhash, scoring, suffix, superkmer
+from . import bpe, decontaminate, language, minhash, scoring, suffix, superkmer, tokens
 from .common import table
 
+WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
 
@@ -26,6 +27,10 @@ def op5_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_language": op3_language,
     "op5_superkmer": op5_superkmer,
+    "op6_rans": op6_rans,
     "op7_suffix_array": op7_suffix_array,
     "op8_cross_entropy": op8_cross_entropy,
     "op9_bpe": op9_bpe,
