@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, written
@@ -124,17 +124,23 @@ def band_rows(docs: DataFrame, weighted: bool = False) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc long, keys array<long>")
 
 
-def shingle_set(text: Column) -> Column:
-    """Hashes of the distinct shingles."""
-    w = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    runs = F.when(F.size(w) >= WORDS, F.transform(F.sequence(F.lit(1), F.size(w) - WORDS + 1), lambda i: F.xxhash64(F.slice(w, i, WORDS)))).otherwise(F.array(F.xxhash64(w)))
-    return F.array_distinct(runs)
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """`doc`, `s`: hashes of the distinct shingles of rows (doc, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch):
+                d, e, _ = shingles(*flat(b.column("text")))
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(b.num_rows + 1)), pa.int32()), pa.array(e.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("doc"), lists], names=["doc", "s"])
+
+    return texts.select("doc", "text").mapInArrow(run, "doc long, s array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts have Jaccard similarity `threshold` or more over shingles."""
     nodes = pairs.select(F.col("a").alias("doc")).unionAll(pairs.select("b")).distinct()
-    sets = texts.join(nodes, "doc", "left_semi").select("doc", shingle_set(F.col("text")).alias("s"))
+    sets = shingle_sets(texts.join(nodes, "doc", "left_semi"))
     with_b = pairs.join(sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
     both = with_b.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
