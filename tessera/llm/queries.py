@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, minhash, scoring, suffix, superkmer, tokens
+from . import bpe, decontaminate, language, minhash, scoring, sharding, suffix, superkmer, tokens
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the committed shards hold it, and the shard."""
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents and benchmark texts that overlap."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -49,6 +54,7 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
     "op3_language": op3_language,
     "op5_superkmer": op5_superkmer,
