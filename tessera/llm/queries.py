@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, minhash, scoring, sharding, suffix, superkmer, tokens
+from . import bpe, decontaminate, language, media, minhash, scoring, sharding, suffix, superkmer, tokens
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -28,6 +28,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
 def op5_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.digests(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
     "op3_language": op3_language,
+    "op4_media": op4_media,
     "op5_superkmer": op5_superkmer,
     "op6_rans": op6_rans,
     "op7_suffix_array": op7_suffix_array,
