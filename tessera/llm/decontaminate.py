@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,18 +131,22 @@ class Index:
         return np.stack([doc[hit], item[hit], matches, np.maximum(0, start), np.minimum(end, np.diff(offsets)[doc[hit]])], 1)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, most_bytes: int = BLOCK) -> DataFrame:
-    """Rows of SCHEMA for all documents (doc_id, text) against all benchmark texts (item_id, text)."""
-    spark = docs.sparkSession
+def indexes(benchmark: DataFrame, most_bytes: int = BLOCK) -> Iterator[Broadcast]:
+    """Indexes of blocks of benchmark texts (item_id, text), each of about `most_bytes` at most, sent to all tasks."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * total // most_bytes)) if total > most_bytes else 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
+    blocks = -(-2 * total // most_bytes) if total > most_bytes else 1
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         got = part.orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(Index([r.item_id for r in got], pa.array([r.text for r in got], pa.string())))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([r.item_id for r in got], pa.array([r.text for r in got], pa.string())))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, most_bytes: int = BLOCK) -> DataFrame:
+    """Rows of SCHEMA for all documents (doc_id, text) against all benchmark texts (item_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = None
+    for index in indexes(benchmark, most_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -156,3 +161,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, most_bytes: int = BLOCK) ->
         found = rows.mapInArrow(run, SCHEMA)
         out = found if out is None else out.unionAll(found)
     return out
+
+
+def without(docs: DataFrame, benchmark: DataFrame, most_bytes: int = BLOCK) -> DataFrame:
+    """The documents, all columns, that overlap no benchmark text."""
+    for index in indexes(benchmark, most_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in slices(batch):
+                    keep = np.ones(b.num_rows, bool)
+                    keep[index.value.search(b.column("text"))[:, 0]] = False
+                    yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -29,7 +29,7 @@ CELLS, HOT = 1 << 16, 16
 #: Documents are dealt to groups by doc_id modulo this prime, scrambled: the same in Spark and in numpy.
 PRIME = 2_147_483_647
 #: Bytes of text whose runs a task packs at once.
-FLUSH = 24 << 20
+FLUSH = 12 << 20
 
 
 @dataclass(frozen=True)
@@ -133,10 +133,10 @@ def n_groups(df: DataFrame) -> int:
     return partitions(df.sparkSession)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc, tag, grp (by which documents are dealt) and text."""
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc, tag, grp (by which documents are dealt) and text, and further columns by number (c0, c1 ...)."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
-    return docs.select(doc.alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("tag"), F.pmod(doc, F.lit(PRIME)).cast("int").alias("p"), "text").withColumn("grp", (F.col("p").cast("long") * 48_271 % PRIME % n_groups(docs)).cast("int")).drop("p")
+    return docs.select(doc.alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("tag"), F.pmod(doc, F.lit(PRIME)).cast("int").alias("p"), "text", *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]).withColumn("grp", (F.col("p").cast("long") * 48_271 % PRIME % n_groups(docs)).cast("int")).drop("p")
 
 
 def group_of(doc: np.ndarray, groups: int) -> np.ndarray:

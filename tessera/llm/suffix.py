@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import written
 from . import repeats as R
@@ -199,11 +200,16 @@ def spans_of(gone: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return doc, start - offsets[doc], end - offsets[doc]
 
 
-def dedup(docs: DataFrame, rule: R.Rule = RULE) -> DataFrame:
-    """SCHEMA for every row of documents (doc_id, text)."""
+def dedup(docs: DataFrame, rule: R.Rule = RULE, carry: tuple[str, ...] = (), text: bool = False) -> DataFrame:
+    """SCHEMA for every row of documents (doc_id, text), and the columns `carry` as they are.
+
+    With `text`, `kept` is a string: of a character that was cut in parts, nothing is left."""
     groups, buckets = R.n_groups(docs), R.n_buckets(docs)
     hot = R.hot_cells(docs, rule)
-    rows = R.keyed(docs)
+    rows = R.keyed(docs, carry)
+    fixed = pa.schema([*list(_OUT)[:-1], pa.field("kept", pa.string())]) if text else _OUT
+    own = T.StructType.fromDDL(SCHEMA.replace("kept binary", "kept string") if text else SCHEMA)
+    schema = T.StructType([*own.fields, *(T.StructField(c, docs.schema[c].dataType) for c in carry)])
     told = written(first_runs(ranks(rows, hot, rule, buckets), groups), "runs")
     last = settled(open_runs(rows, told, hot, rule, buckets), rule, groups)
     answers = told.select("grp", F.lit(0).alias("kind"), "blob").unionAll(last.select("grp", F.lit(1).alias("kind"), "blob"))
@@ -220,8 +226,8 @@ def dedup(docs: DataFrame, rule: R.Rule = RULE) -> DataFrame:
             left, i = bits.find(doc, tag, at)
             if len(bits.key):
                 some = np.flatnonzero(left[run])
-                wide = np.unpackbits(bits.value[0], axis=1)
-                again[some] = wide[i[run[some]], start[some] - r.s[run[some]]]
+                flags = np.unpackbits(bits.value[0], axis=1)
+                again[some] = flags[i[run[some]], start[some] - r.s[run[some]]]
             gone = R.covered(start[again], rule.length, len(u.buf))
             n = np.diff(u.first)
             kept = np.bincount(u.doc[~gone], minlength=len(n))
@@ -230,11 +236,16 @@ def dedup(docs: DataFrame, rule: R.Rule = RULE) -> DataFrame:
             data = u.buf[~gone].tobytes()
             ends = np.cumsum(kept)
             rest = [data[a:e] for a, e in zip((ends - kept).tolist(), ends.tolist())]
+            rest = pa.array([x.decode("utf-8", "ignore") for x in rest] if text else rest, fixed.field("kept").type)
             ids = b.column("doc").to_numpy()
-            out.append(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(n.astype(np.int64)), pa.array((n - kept).astype(np.int64)), spans, pa.array(rest, pa.binary())], schema=_OUT))
-        return pa.Table.from_batches(out, _OUT)
-
-    return rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(finish, SCHEMA)
+            also = [b.column(f"c{k}") for k in range(len(carry))]
+            wide = pa.schema([*fixed, *(pa.field(c, x.type) for c, x in zip(carry, also))])
+            out.append(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(n.astype(np.int64)), pa.array((n - kept).astype(np.int64)), spans, rest, *also], schema=wide))
+        if not out:
+            return pa.schema([*fixed, *(pa.field(c, texts.schema.field(f"c{k}").type) for k, c in enumerate(carry))]).empty_table()
+        return pa.Table.from_batches(out)
+
+    return rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(finish, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:

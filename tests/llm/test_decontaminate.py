@@ -41,4 +41,7 @@ def test_against_brute_force(spark):
     want = sorted((a, i) for a, t in docs for i, u in items if brute(t, u))
     assert len(want) > 20 and got == want
     assert sorted((x.doc_id, x.item_id) for x in d.overlaps(df, bench, most_bytes=500).collect()) == want
+    clean = d.without(df, bench, most_bytes=500)
+    assert clean.columns == df.columns
+    assert sorted((x.doc_id or 0, x.text) for x in clean.collect() if x.text) == sorted((a, t) for a, t in docs if t and a not in {w[0] for w in want})
     assert d.overlaps(df.limit(0), bench).count() == 0 == d.overlaps(df, bench.limit(0)).count()
