@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import repeats as R
 from .common import NO_ID, U, expand, flat, mix, pack, slices, windows, words
 
-LENGTH, K = 20, 8
+LENGTH, K = 20, 4
 RULE = R.Rule("word", LENGTH, K)
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -43,7 +43,7 @@ def strings(rows: DataFrame, hot: np.ndarray, rule: R.Rule, buckets: int) -> Dat
         out = []
         for bucket, part in R.dealt(to, buckets):
             p = o[part]
-            out.append((bucket, pack(R.delta(doc[p]), tag[p].astype(np.uint16), at[p].astype(np.uint32), c[p].astype(np.uint8), size[p].astype(np.uint32), R.packed_slices(data, ends[p] - size[p], ends[p]))))
+            out.append((bucket, pack(R.delta(doc[p]), tag[p].astype(np.uint16), at[p].astype(np.uint32), c[p].astype(np.uint8), size[p].astype(np.uint32), R.packed_slices(data, ends[p] - size[p], ends[p]), level=3)))
         if out:
             yield R.blob_batch("bucket", out)
 
