@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import workspace
 
 BASE, FAN, TARGET = 32 << 20, 4, 128 << 20
+#: Files of which the names are broadcast (about 200 bytes each); beyond it the join shuffles.
+MOST_NAMES = 50_000
 _SHARD = "_shard_of"
 
 
@@ -77,6 +79,11 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return jvm, p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _names(self, rows: list[tuple], schema: str) -> DataFrame:
+        """A table with a row for each file, sent to all tasks where it is small enough."""
+        names = self.spark.createDataFrame(rows, schema)
+        return F.broadcast(names) if len(rows) <= MOST_NAMES else names
+
     def versions(self) -> list[int]:
         _, p, fs = self._files(f"{self.root}/manifest")
         if not fs.exists(p):
@@ -140,7 +147,7 @@ class Store:
             return before
         names = {g[0]: f"m{before + 1:06d}-{k:06d}" for k, g in enumerate(merged)}
         of = [(f, names[g[0]]) for g in merged for k in g for f in live[k].files]
-        to = self.spark.createDataFrame(of, f"_file string, {_SHARD} string")
+        to = self._names(of, f"_file string, {_SHARD} string")
         sources = self.spark.read.parquet(*[f for f, _ in of])
         rows = sources.withColumn("_file", F.col("_metadata.file_path")).join(to, "_file").drop("_file")
         at = f"{workspace_name(self.root + '/data')}"
@@ -164,7 +171,7 @@ class Store:
         of = [(f, s.name, s.tier) for s in live for f in s.files]
         if not of:
             return None
-        names = self.spark.createDataFrame(of, "_file string, _shard string, _tier int")
+        names = self._names(of, "_file string, _shard string, _tier int")
         rows = self.spark.read.parquet(*[f for f, _, _ in of])
         return rows.withColumn("_file", F.col("_metadata.file_path")).join(names, "_file").drop("_file")
 
