@@ -21,7 +21,7 @@ def scratch(spark, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a written table: later reads survive lost executors and carry no lineage."""
     at = scratch(df.sparkSession, name)
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
