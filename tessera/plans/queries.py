@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import vector as V
 from ..operators import cluster, curve, evidence, graph, matching, overlap, ownership, quantile, sequence, spatial, voting
+from ..streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -672,3 +673,22 @@ def hash_sample_is_exact(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id")
     a, b = cluster.hash_sample(d, "doc_id", 50, 7), cluster.hash_sample(d.repartition(7, "doc_id"), "doc_id", 50, 7)
     return a.exceptAll(b).unionAll(b.exceptAll(a))
+
+
+# Streams
+
+
+@query("""
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS votes FROM events GROUP BY 1, 2""")
+def stream_hourly_votes(spark, sf_dir):
+    votes = streams.windowed_votes(streams.read_events(spark, sf_dir, pattern="events.parquet"), "event_type", "1 hour", late="400 days")
+    return streams.drained(votes, "complete").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "votes")
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, sf_dir):
+    s = streams.sessions(streams.read_events(spark, sf_dir, pattern="events.parquet"), "user_id", "6 hours", "400 days")
+    return streams.drained(s, "complete").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
