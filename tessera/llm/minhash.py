@@ -5,12 +5,13 @@ weight and rank above each shingle: every cell of unit area has a Poisson(1) num
 that only the shingle and the cell decide. Darts below the shingle's weight and before a rank that yields
 about K ln K + 2 K of them per document are looked at; the earliest in each of K coordinates is the
 signature (with a coordinate empty, the rank is doubled). Two signatures agree in a coordinate with the
-probability of the weighted Jaccard similarity. BANDS bands of ROWS coordinates are joined.
+probability of the weighted Jaccard similarity. BANDS bands of ROWS coordinates each (drawn from the K, so bands
+share some) are joined.
 
-Equal texts are one. In each band's group all texts are compared with two leaders; what is still in
-different classes is compared with all others of its group. Every compared pair is verified on the whole
+Equal texts are one. In each band's group all texts are paired with two leaders, and what is still in different
+classes with all others of its group; pairs that earlier links have joined already aren't compared. A compared pair is verified on the whole
 sets of shingles (weights are 1 there; signatures also take counts as weights), a similarity of SIMILARITY or more links it, and classes are the connected components.
-A pair at 0.8 shares no band with a probability of 3 in a million.
+A pair at 0.8 shares no band with a probability of 5 in 10,000, at 0.85 of 7 in a million.
 
 Result: doc_id, class_id (the least doc_id of the class). Texts without words, and null texts, are linked to
 equal texts only. A doc_id names one document: of rows that reuse it for different texts each counts by itself, but
@@ -29,8 +30,12 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components, written
 from .common import BASE, U, expand, flat, mix, slices, windows, words
 
-WORDS, SIMILARITY, ROWS, BANDS = 5, 0.8, 5, 32
-K = ROWS * BANDS
+WORDS, SIMILARITY, K, ROWS, BANDS = 5, 0.8, 160, 8, 64
+#: The coordinates of each band: a fixed draw, so that K serves more bands than K / ROWS.
+_DRAW = np.random.default_rng(20200423)
+PLACES = np.stack([_DRAW.permutation(K)[:ROWS] for _ in range(BANDS)])
+#: Longs of the bitmap by which pairs are bounded before their sets are compared.
+MAP = 16
 _GOLD = U(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, n + 1, dtype=float))) for n in range(20)])
 
@@ -100,12 +105,11 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
     return out, has
 
 
-def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def bands(sig: np.ndarray) -> np.ndarray:
     """A key for each band."""
-    n = sig.shape[1] // rows
-    key = np.broadcast_to(np.arange(1, n + 1, dtype=np.uint64), (len(sig), n)).copy()
-    for r in range(rows):
-        key = key * BASE + sig[:, np.arange(n) * rows + r]
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), BANDS)).copy()
+    for r in range(ROWS):
+        key = key * BASE + sig[:, PLACES[:, r]]
     return mix(key).view(np.int64)
 
 
@@ -114,7 +118,7 @@ def band_rows(docs: DataFrame, weighted: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, most=256):
                 d, e, n = shingles(*flat(b.column("text")))
                 sig, has = signatures(d, e, n if weighted else np.ones(len(n)), b.num_rows)
                 key = bands(sig[has])
@@ -125,28 +129,74 @@ def band_rows(docs: DataFrame, weighted: bool = False) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """`doc`, `s`: hashes of the distinct shingles of rows (doc, text)."""
+    """`doc`, `s`: hashes of the distinct shingles of rows (doc, text); `bits`: which of 64 * MAP cells they fall into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, most=1024):
                 d, e, _ = shingles(*flat(b.column("text")))
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(b.num_rows + 1)), pa.int32()), pa.array(e.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc"), lists], names=["doc", "s"])
+                cells = np.zeros((b.num_rows, 64 * MAP), bool)
+                cells[d, (e % U(64 * MAP)).astype(np.int64)] = True
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * MAP, pa.int32()), pa.array(np.packbits(cells, 1).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("doc"), lists, bits], names=["doc", "s", "bits"])
 
-    return texts.select("doc", "text").mapInArrow(run, "doc long, s array<long>")
+    return texts.select("doc", "text").mapInArrow(run, "doc long, s array<long>, bits array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts have Jaccard similarity `threshold` or more over shingles."""
-    nodes = pairs.select(F.col("a").alias("doc")).unionAll(pairs.select("b")).distinct()
-    sets = shingle_sets(texts.join(nodes, "doc", "left_semi"))
-    with_b = pairs.join(sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
-    both = with_b.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose sets (doc, s) have Jaccard similarity `threshold` or more.
+
+    The joins are sort-merge joins at every size: sets are long, and a frequent leader's pairs can be split."""
+    with_b = pairs.join(sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
+    both = with_b.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", common.alias("n"), F.size("sa").alias("na"), F.size("sb").alias("nb")).where(F.col("n") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("n")))
 
 
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are in different classes so far."""
+    a, b = (found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    both = pairs.join(a, "a", "left").join(b, "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """`node`, `component` after further links between classes; what isn't there is a class of its own."""
+    links = written(links.select("a", "b"), "links")
+    if found is None:
+        return written(connected_components(links, "a", "b"), "classes")
+    if links.isEmpty():
+        return found
+    a, b = (found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    edges = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    more = written(connected_components(edges, "a", "b"), "classes")
+    new = more.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = found.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return written(old.unionAll(more.join(found, "node", "left_anti")), "classes")
+
+
+def lacking(x: str, y: str):
+    """How many cells text x has and y lacks: as many of its shingles at least aren't y's."""
+    at = lambda t, k: F.get(F.col(f"{t}.bits"), F.lit(k))
+    return sum((F.bit_count(at(x, k).bitwiseAND(F.bitwise_not(at(y, k)))) for k in range(MAP)), F.lit(0))
+
+
+def possible(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows (key, doc, c) that may still have a partner in their group, with n shingles and u that no other text left has.
+
+    A partner has at least max(0.8 n, the group's least) shingles and shares n - u at most: an exact bound."""
+    own = sets.join(left.select("doc").distinct(), "doc", "left_semi")
+    each = own.select("doc", F.explode("s").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("k"), F.min("doc").alias("doc"))
+    solo = each.where("k = 1").groupBy("doc").agg(F.count(F.lit(1)).alias("u"))
+    sized = own.select("doc", "bits", F.size("s").alias("n")).join(solo, "doc", "left").select("doc", "bits", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    rows = written(left.join(sized, "doc"), "sized")
+    least = rows.groupBy("key").agg(F.min("n").alias("lo"))
+    at_least = F.greatest(F.col("lo"), F.lit(SIMILARITY) * F.col("n"))
+    kept = rows.join(least, "key").where(F.col("n") - F.col("u") >= F.lit(SIMILARITY) * (at_least + F.col("u")) - 1e-9)
+    return written(kept.select("key", "doc", "c", "n", "u", "bits"), "possible")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id of every row of documents (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
@@ -159,19 +209,23 @@ def classes(docs: DataFrame) -> DataFrame:
     groups = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.min_by("doc", F.xxhash64("doc")).alias("other"), F.max("doc").alias("last")).where("first <> last")
     spread = keyed.join(groups.select("key", "first", "other"), "key")
     pairs = spread.select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("doc").alias("b")), F.struct(F.least("other", "doc").alias("a"), F.greatest("other", "doc").alias("b")))).alias("p")).select("p.a", "p.b").where("a <> b")
-    pairs = written(pairs.distinct(), "pairs")
-    links = written(verified(pairs, texts).select("a", "b"), "links")
-    found = written(connected_components(links, "a", "b"), "classes")
-    # What a group still holds in different classes is compared outright.
+    pairs = written(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    nodes = pairs.select(F.col("a").alias("doc")).unionAll(pairs.select("b")).distinct()
+    sets = written(shingle_sets(texts.join(nodes.hint("merge"), "doc", "left_semi")), "sets")
+    # First the leader with which a text shares most bands; then what that leaves apart of the other leaders' pairs,
+    # and last what a group still holds in different classes, outright.
+    best = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select("m.a", "b")
+    found = joined(None, verified(best, sets))
+    found = joined(found, verified(apart(pairs, found).join(best, ["a", "b"], "left_anti"), sets))
     of = spread.select("key", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
     mixed = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    apart = written(of.join(mixed, "key"), "apart")
-    rest = apart.alias("x").join(apart.alias("y"), "key").where("x.doc < y.doc AND x.c <> y.c").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = written(verified(rest, texts).select("a", "b"), "links")
-        if not more.isEmpty():
-            found = written(connected_components(links.unionAll(more), "a", "b"), "classes")
+    left = written(of.join(mixed, "key"), "apart")
+    left = possible(left, sets)
+    inter = F.least(F.col("x.n") - F.greatest("x.u", lacking("x", "y")), F.col("y.n") - F.greatest("y.u", lacking("y", "x")))
+    may = inter >= F.lit(SIMILARITY) * (F.col("x.n") + F.col("y.n") - inter) - 1e-9
+    rest = left.alias("x").join(left.alias("y"), "key").where((F.col("x.doc") < F.col("y.doc")) & (F.col("x.c") != F.col("y.c")) & may)
+    rest = rest.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    found = joined(found, verified(rest.join(pairs, ["a", "b"], "left_anti"), sets))
     # Rows to the first row of their text, and on to its class.
     by_text = same.where("n > 1").select("h1", "h2", "rep")
     own = hashed.join(by_text, ["h1", "h2"], "left").select("doc", F.coalesce("rep", "doc").alias("rep"))
