@@ -6,6 +6,7 @@ that reuse a doc_id for another text stay apart. A null doc_id orders before all
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 import uuid
@@ -18,9 +19,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:  # Large arrays go back to the system when they are freed, also in workers that live on for other stages.
+    ctypes.CDLL(None).mallopt(-3, 4 << 20)
+except (AttributeError, OSError):
+    pass
+pa.set_memory_pool(pa.system_memory_pool())
+
 NO_ID = -(2**63)
-#: Text bytes that are turned into arrays at once; temporary arrays take about 100 times as much.
-CHUNK = 1 << 20
+#: Text bytes that are turned into arrays at once, so that these stay in a processor's cache; all take about 100 times as much.
+CHUNK = 1 << 18
 U = np.uint64
 
 
@@ -58,14 +65,14 @@ def unpack(blob: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
-def slices(batch: pa.RecordBatch | pa.Table, text: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about `limit` bytes of text; one long text is a piece of its own."""
+def slices(batch: pa.RecordBatch | pa.Table, text: str = "text", limit: int = CHUNK, most: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about `limit` bytes of text and `most` rows; one long text is a piece of its own."""
     for b in batch.to_batches() if isinstance(batch, pa.Table) else [batch]:
         if not b.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         piece = np.cumsum(sizes) // limit
-        cuts = np.flatnonzero(np.diff(piece)) + 1
+        cuts = np.flatnonzero(np.diff(piece) + np.diff(np.arange(b.num_rows) // most)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
             if hi > lo:
                 yield b.slice(lo, hi - lo)
