@@ -355,11 +355,12 @@ def g0_support(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT l_suppkey, l_partkey, sum(l_tax) AS i, sum(l_discount) AS v FROM lineitem GROUP BY ALL),
-k AS (SELECT *, CASE WHEN v = 0 THEN 0 ELSE i / v END AS ratio FROM s WHERE i >= 0.03 AND CASE WHEN v = 0 THEN 0 ELSE i / v END >= 0.5)
+WITH s AS (SELECT l_suppkey, l_partkey, sum(round(l_tax * 100)::BIGINT) AS i, sum(round(l_discount * 100)::BIGINT) AS v FROM lineitem GROUP BY ALL),
+k AS (SELECT *, CASE WHEN v = 0 THEN 0 ELSE i / v END AS ratio FROM s WHERE i >= 3 AND CASE WHEN v = 0 THEN 0 ELSE i / v END >= 0.5)
 SELECT l_suppkey, l_partkey, round(ratio, 6) AS ratio FROM k QUALIFY count(*) OVER (PARTITION BY l_suppkey) >= 3""")
 def g2_mass(spark, sf_dir):
-    m = overlap.mass_members(t(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_partkey", "l_tax", "l_discount", 0.03)
+    li = t(spark, sf_dir, "lineitem").withColumns({c: F.round(F.col(c) * 100).cast("long") for c in ("l_tax", "l_discount")})
+    m = overlap.mass_members(li, ["l_suppkey"], "l_partkey", "l_tax", "l_discount", 3)
     return m.select("l_suppkey", "l_partkey", r6("ratio").alias("ratio"))
 
 
