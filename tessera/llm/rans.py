@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 
 #: Frequencies add up to 2**SCALE; states are 63 bits and give or take 32 at a time.
-SCALE, LANES, EVERY = 20, 256, 128
+SCALE, LANES, EVERY = 20, 1024, 128
 _M, _LEAST, _WORD = np.uint64(1 << SCALE), np.uint64(1 << 31), np.uint64(32)
 
 

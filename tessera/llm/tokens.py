@@ -2,7 +2,7 @@
 
 Texts are encoded by the tokenizers library, piece by distinct piece: pieces are cut as the vocabulary's
 pre-tokenizer does (letters, single digits, other marks, English endings), by character class over arrays; a
-text with a special token in it goes through the library whole. An end id follows each document.
+text with a special token in it, or with characters newer than Python's tables, goes through the library whole. An end id follows each document.
 
 File format: Parquet in the shared folder. `tables` has the shared frequencies (id, freq; adding up to
 2**20) of the static range asymmetric numeral system; `blocks` a row for each block: shard and block (order),
@@ -16,6 +16,7 @@ table gives files without blocks. Other columns are ignored.
 
 from __future__ import annotations
 
+import array
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -28,11 +29,11 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import written
 from . import rans
-from .common import BASE, NO_ID, U, expand, mix, pack, partitions, powers, slices, unpack, workspace
+from .common import BASE, NO_ID, expand, flat, mix, partitions, powers, slices, workspace
 
-BLOCK, CACHE = 1 << 16, 400_000
+BLOCK, CACHE, STRETCH = 1 << 18, 600_000, 1 << 18
 _BLOCKS = "shard int, block int, doc_ids array<long>, sizes array<int>, n int, states binary, words binary, points binary, crc long"
-_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_SPACE, _LETTER, _DIGIT, _OTHER, _NEW = range(5)
 _kinds: list[np.ndarray] = []
 
 
@@ -40,7 +41,9 @@ def kinds() -> np.ndarray:
     """Class of each code point."""
     if not _kinds:
         of = {"L": _LETTER, "N": _DIGIT}
-        k = np.fromiter((of.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+        names = [unicodedata.category(chr(c)) for c in range(0x110000)]
+        # What Python's tables don't know yet may be a letter to the library.
+        k = np.fromiter((_NEW if n == "Cn" else of.get(n[0], _OTHER) for n in names), np.uint8, 0x110000)
         k[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = _SPACE
         _kinds.append(k)
     return _kinds[0]
@@ -51,8 +54,18 @@ def lowered(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
-def cut(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each piece of code points (texts separated by blanks)."""
+_random: list[np.ndarray] = []
+
+
+def random_of_point() -> np.ndarray:
+    """64 random bits for each code point."""
+    if not _random:
+        _random.append(np.random.default_rng(49_408).integers(0, 2**64, 0x110000, dtype=np.uint64))
+    return _random[0]
+
+
+def cut(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each piece of code points (texts separated by blanks), and a hash of it."""
     kind = kinds()[p]
     begin = np.ones(len(p), bool)
     begin[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
@@ -68,12 +81,16 @@ def cut(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mark, take = mark[take > 0], take[take > 0]
     begin[mark + 1] = False
     rest = mark + 1 + take
-    rest = rest[rest < len(p)]
-    begin[rest] = True
+    begin[rest[rest < len(p)]] = True
     start = np.flatnonzero(begin)
-    end = np.append(start[1:], len(p))
-    keep = kind[start] != _SPACE
-    return start[keep], end[keep]
+    if not len(start):
+        return start, start, start.astype(np.uint64)
+    size = np.diff(start, append=len(p))
+    within = np.arange(len(p)) - np.repeat(start, size)
+    h = np.add.reduceat(random_of_point()[p] * powers(BASE, int(size.max()))[within], start)
+    keep = np.flatnonzero(kind[start] != _SPACE)
+    start, size = start[keep], size[keep]
+    return start, start + size, mix(h[keep] + size.astype(np.uint64))
 
 
 class Encoder:
@@ -89,39 +106,52 @@ class Encoder:
 
     def forget(self) -> None:
         self.place: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.starts, self.flat = array.array("q", [0]), array.array("q")
 
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and offsets of each text."""
         if len(self.place) > CACHE:
             self.forget()
         whole = {k: np.array(self.library.encode(t, add_special_tokens=False).ids, np.int64) for k, t in enumerate(texts) if t and any(s in t for s in self.special)}
-        parts = [" " if t is None or k in whole else lowered(t) + " " for k, t in enumerate(texts)]
-        joined = "".join(parts)
-        p = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-        start, end = cut(p)
-        size = end - start
-        doc = np.searchsorted(np.cumsum([len(x) for x in parts]), start, side="right")
-        if len(start):
-            at = expand(start, size)
-            first = np.cumsum(size) - size
-            within = at - np.repeat(start, size)
-            h = mix(np.add.reduceat(mix(p[at].astype(np.uint64) + U(1)) * powers(BASE, int(size.max()))[within], first) + size.astype(np.uint64))
-        else:
-            h = np.zeros(0, np.uint64)
-        keys, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        new = [k for k, key in enumerate(keys.tolist()) if key not in self.place]
+        # Pieces are cut and hashed in stretches that fit into a processor's cache, and named together.
+        groups, held, size = [], [], 0
+        for k, t in enumerate(texts):
+            held.append(" " if t is None or k in whole else lowered(t) + " ")
+            size += len(held[-1])
+            if size >= STRETCH or k == len(texts) - 1:
+                joined = "".join(held)
+                p = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+                if (kinds()[p] == _NEW).any():
+                    first = k + 1 - len(held)
+                    for j, part in enumerate(held):
+                        if part != " " and any(kinds()[ord(c)] == _NEW for c in set(part)):
+                            held[j] = " "
+                            whole[first + j] = np.array(self.library.encode(texts[first + j], add_special_tokens=False).ids, np.int64)
+                    joined = "".join(held)
+                    p = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+                start, end, h = cut(p)
+                doc = np.searchsorted(np.cumsum([len(x) for x in held]), start, side="right") + k + 1 - len(held)
+                groups.append((joined, start, end, h, doc))
+                held, size = [], 0
+        start, end, h, doc = (np.concatenate([g[i] for g in groups]) if groups else np.zeros(0, np.int64) for i in range(1, 5))
+        ends = np.cumsum([len(g[1]) for g in groups])
+        keys, where, inverse = np.unique(h.astype(np.uint64), return_index=True, return_inverse=True)
+        named, place = keys.tolist(), self.place
+        new = [k for k, key in enumerate(named) if key not in place]
         if new:
-            pieces = [joined[start[where[k]] : end[where[k]]] for k in new]
+            at = where[new]
+            of = np.searchsorted(ends, at, side="right").tolist()
+            pieces = [groups[g][0][a:b] for g, a, b in zip(of, start[at].tolist(), end[at].tolist())]
             for k, e in zip(new, self.library.encode_batch_fast(pieces, add_special_tokens=False)):
-                self.place[int(keys[k])] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.int64))
-        mine = [self.ids[self.place[k]] for k in keys.tolist()]
-        count = np.array([len(x) for x in mine], np.int64)
-        flat = np.concatenate(mine) if mine else np.zeros(0, np.int64)
-        begin = np.cumsum(count) - count
-        ids = flat[expand(begin[inverse], count[inverse])]
-        sizes = np.bincount(doc, weights=count[inverse], minlength=len(texts)).astype(np.int64) if len(doc) else np.zeros(len(texts), np.int64)
+                place[named[k]] = len(self.starts) - 1
+                self.flat.extend(e.ids)
+                self.starts.append(len(self.flat))
+        at = np.fromiter(map(place.__getitem__, named), np.int64, len(named))[inverse]
+        starts = np.frombuffer(self.starts, np.int64)
+        count = starts[at + 1] - starts[at]
+        known = np.frombuffer(self.flat, np.int64) if len(self.flat) else np.zeros(0, np.int64)
+        ids = known[expand(starts[at], count)]
+        sizes = np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64) if len(doc) else np.zeros(len(texts), np.int64)
         if whole:
             pieces = np.split(ids, np.cumsum(sizes)[:-1])
             for k, x in whole.items():
@@ -139,29 +169,35 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def width(size: int) -> str:
+    """The array type for ids of a vocabulary."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """`doc`, `tag`, `ids`: packed ids of each document with the end id."""
+    """`doc`, `tag`, `ids`: ids (of `width` bits) of each document with the end id."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, limit=1 << 21):
                 ids, offsets = encoder(path).encode_all(b.column("text").to_pylist())
-                wide = np.uint16 if encoder(path).size <= 1 << 16 else np.uint32
-                blobs = [pack(np.append(ids[lo:hi], end_id).astype(wide)) for lo, hi in zip(offsets[:-1], offsets[1:])]
+                every = np.insert(ids, offsets[1:], end_id).astype(width(encoder(path).size)).tobytes()
+                bounds = (int(width(encoder(path).size)[2:]) * (offsets + np.arange(len(offsets)))).tolist()
+                blobs = [every[lo:hi] for lo, hi in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("tag"), pa.array(blobs, pa.binary())], names=["doc", "tag", "ids"])
 
     return docs.select(doc.alias("doc"), F.xxhash64("text").alias("tag"), "text").mapInArrow(run, "doc long, tag long, ids binary")
 
 
-def frequencies(packed: DataFrame) -> DataFrame:
+def frequencies(packed: DataFrame, kind: str) -> DataFrame:
     """`id`, `n`: how often each id occurs in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(0, np.int64)
         for b in batches:
             if b.num_rows:
-                mine = np.bincount(np.concatenate([unpack(x)[0] for x in b.column("ids").to_pylist()]))
+                mine = np.bincount(flat(b.column("ids"))[0].view(kind))
                 if len(mine) > len(count):
                     count = np.pad(count, (0, len(mine) - len(count)))
                 count[: len(mine)] += mine
@@ -176,7 +212,8 @@ def write(docs: DataFrame, path: str, end_id: int = 1, at: str | None = None) ->
     spark = docs.sparkSession
     at = at or workspace(spark, "tokens")
     packed = written(tokenized(docs, path, end_id), "ids")
-    counted = frequencies(packed).toPandas()  # at most the vocabulary
+    kind = width(encoder(path).size)
+    counted = frequencies(packed, kind).toPandas()  # at most the vocabulary
     counts = np.zeros(int(counted.id.max()) + 1 if len(counted) else end_id + 1, np.int64)
     counts[counted.id.to_numpy(np.int64)] = counted.n.to_numpy(np.int64)
     freq = rans.Table.fit(counts).freq.astype(np.int64)
@@ -194,13 +231,14 @@ def write(docs: DataFrame, path: str, end_id: int = 1, at: str | None = None) ->
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
         held, size = [], 0
-        for b in batches:
-            for doc, ids in zip(b.column("doc").to_pylist(), b.column("ids").to_pylist()):
-                held.append((doc, unpack(ids)[0].astype(np.int64)))
-                size += len(held[-1][1])
-                if size >= BLOCK:
-                    yield row(held)
-                    held, size, block = [], 0, block + 1
+        for batch in batches:
+            for b in slices(batch, "ids"):
+                for doc, ids in zip(b.column("doc").to_pylist(), b.column("ids").to_pylist()):
+                    held.append((doc, np.frombuffer(ids, kind)))
+                    size += len(held[-1][1])
+                    if size >= BLOCK:
+                        yield row(held)
+                        held, size, block = [], 0, block + 1
         if held:
             yield row(held)
 
