@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import expand
+from .common import expand, held
 
 #: Fixed: the published pattern that cuts texts into pieces before merging; `\s` is Unicode's White_Space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Distinct pieces that a worker keeps; the cache starts anew beyond it.
-CACHE = 200_000
+CACHE = 150_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -175,13 +175,11 @@ class _Known(dict):
         return place
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    kept = held("bpe")
+    if path not in kept:
+        kept[path] = Codec(path)
+    return kept[path]
 
 
 def _wide(offsets: np.ndarray, values: pa.Array) -> pa.Array:

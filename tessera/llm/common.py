@@ -7,6 +7,7 @@ that reuse a doc_id for another text stay apart. A null doc_id orders before all
 from __future__ import annotations
 
 import ctypes
+import gc
 import pickle
 import tempfile
 import uuid
@@ -31,6 +32,24 @@ CHUNK = 1 << 18
 U = np.uint64
 
 
+_held: dict[str, dict] = {}
+
+
+def held(kind: str) -> dict:
+    """What one operator keeps in this process between tasks. Whatever another one kept here is dropped first: workers
+    live on from stage to stage."""
+    if kind not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass
+        _held[kind] = {}
+    return _held[kind]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset (tests), a folder of this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)

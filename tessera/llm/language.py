@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import held, slices
 
 CHARS, DOCS, LANGS, LANE = 40_000, 256, 256, 1024
 SCHEMA = "lang_pred string, score double"
@@ -63,14 +63,12 @@ class Automaton:
             last = cur
 
 
-_letters: list[np.ndarray] = []
-
-
 def letters() -> np.ndarray:
     """Which code points are letters."""
-    if not _letters:
-        _letters.append(np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), bool))
-    return _letters[0]
+    kept = held("language")
+    if "letters" not in kept:
+        kept["letters"] = np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), bool)
+    return kept["letters"]
 
 
 def points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,15 +173,13 @@ def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", chars: i
     return {k: " ".join(v)[:chars] for k, v in took.items()}
 
 
-_models: dict[str, Models] = {}
-
-
 def models(texts: dict[str, str]) -> Models:
-    key = hashlib.sha256(repr(sorted(texts.items())).encode()).hexdigest()
-    if key not in _models:
-        _models.clear()
-        _models[key] = Models(texts)
-    return _models[key]
+    kept, key = held("language"), hashlib.sha256(repr(sorted(texts.items())).encode()).hexdigest()
+    if key not in kept:
+        for old in set(kept) - {"letters"}:
+            del kept[old]
+        kept[key] = Models(texts)
+    return kept[key]
 
 
 def identify(df: DataFrame, texts: dict[str, str], text: str = "text") -> DataFrame:

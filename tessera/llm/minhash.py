@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, written
-from .common import BASE, U, expand, flat, mix, slices, windows, words
+from .common import BASE, U, expand, flat, held, mix, slices, windows, words
 
 WORDS, SIMILARITY, K, ROWS, BANDS = 5, 0.8, 160, 8, 64
 #: The coordinates of each band: a fixed draw, so that K serves more bands than K / ROWS.
@@ -65,6 +65,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.n
 
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """Signature (n_docs x k) of weighted sets given by document in order, and which documents have one."""
+    held("minhash")
     out = np.zeros((n_docs, k), np.uint64)
     norm = np.bincount(doc, weights=weight, minlength=n_docs)
     has = norm > 0

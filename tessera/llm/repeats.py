@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_2, BYTE_1, BYTE_2, NO_ID, U, expand, flat, inverse, mix, pack, partitions, powers, slices, sliding_argmin, unpack, windows, words
+from .common import BASE, BASE_2, BYTE_1, BYTE_2, NO_ID, U, expand, flat, held, inverse, mix, pack, partitions, powers, slices, sliding_argmin, unpack, windows, words
 
 CELLS, HOT = 1 << 16, 16
 #: Documents are dealt to groups by doc_id modulo this prime, scrambled: the same in Spark and in numpy.
@@ -73,6 +73,7 @@ class Runs:
 
 def runs(u: Units, rule: Rule, hot: np.ndarray) -> Runs:
     n = len(u.doc) - rule.length + 1
+    held("repeats")
     none = np.zeros(0, np.int64)
     if n <= 0:
         return Runs(none, none, none.astype(np.uint64))
@@ -96,7 +97,7 @@ def range_hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray, base: np.uint64) -
     """A hash of h[a:b] for each a, b, by prefix sums."""
     have = _tables.get(int(base))
     if have is None or len(have[0]) <= len(h):
-        size = max(1 << 21, len(h) + 1)
+        size = max(1 << 19, len(h) + 1)
         _tables[int(base)] = have = (powers(base, size), powers(inverse(base), size))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * have[0][: len(h)])])
     return mix((total[b] - total[a]) * have[1][a] + (b - a).astype(np.uint64))

@@ -17,6 +17,8 @@ table gives files without blocks. Other columns are ignored.
 from __future__ import annotations
 
 import array
+import itertools
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import written
 from . import rans
-from .common import BASE, NO_ID, expand, flat, mix, partitions, powers, slices, workspace
+from .common import BASE, NO_ID, expand, flat, held, mix, partitions, powers, slices, workspace
 
 BLOCK, CACHE, STRETCH = 1 << 18, 600_000, 1 << 18
 _BLOCKS = "shard int, block int, doc_ids array<long>, sizes array<int>, n int, states binary, words binary, points binary, crc long"
@@ -100,6 +102,11 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        # Pieces are normalised and cut already: the library's model alone encodes them, by its byte-level letters.
+        spec = json.load(open(path, encoding="utf-8"))
+        steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": next(s for s in steps if s["type"] == "ByteLevel") | {"use_regex": False}}
+        self.model = Tokenizer.from_str(json.dumps(spec))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.size = self.library.get_vocab_size()
         self.forget()
@@ -108,6 +115,12 @@ class Encoder:
         self.place: dict[int, int] = {}
         self.starts, self.flat = array.array("q", [0]), array.array("q")
 
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces on end, and how many each has."""
+        each = [x.ids for x in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
+        size = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(itertools.chain.from_iterable(each), np.int64, int(size.sum())), size
+
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and offsets of each text."""
         if len(self.place) > CACHE:
@@ -137,16 +150,20 @@ class Encoder:
         ends = np.cumsum([len(g[1]) for g in groups])
         keys, where, inverse = np.unique(h.astype(np.uint64), return_index=True, return_inverse=True)
         named, place = keys.tolist(), self.place
-        new = [k for k, key in enumerate(named) if key not in place]
+        known = list(map(place.get, named))
+        new = [k for k, v in enumerate(known) if v is None]
         if new:
             at = where[new]
             of = np.searchsorted(ends, at, side="right").tolist()
             pieces = [groups[g][0][a:b] for g, a, b in zip(of, start[at].tolist(), end[at].tolist())]
-            for k, e in zip(new, self.library.encode_batch_fast(pieces, add_special_tokens=False)):
-                place[named[k]] = len(self.starts) - 1
-                self.flat.extend(e.ids)
-                self.starts.append(len(self.flat))
-        at = np.fromiter(map(place.__getitem__, named), np.int64, len(named))[inverse]
+            ids, size = self.encode_pieces(pieces)
+            base = len(self.starts) - 1
+            place.update(zip(keys[new].tolist(), range(base, base + len(new))))
+            for j, k in enumerate(new):
+                known[k] = base + j
+            self.starts.frombytes((self.starts[-1] + np.cumsum(size, dtype=np.int64)).tobytes())
+            self.flat.frombytes(ids.tobytes())
+        at = np.array(known, np.int64)[inverse]
         starts = np.frombuffer(self.starts, np.int64)
         count = starts[at + 1] - starts[at]
         known = np.frombuffer(self.flat, np.int64) if len(self.flat) else np.zeros(0, np.int64)
@@ -160,13 +177,11 @@ class Encoder:
         return ids, np.concatenate([[0], np.cumsum(sizes)])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    kept = held("tokens")
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def width(size: int) -> str:
