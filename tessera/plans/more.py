@@ -218,7 +218,7 @@ def yaw_boxes(spark, sf_dir):
     return geometry.yaw_boxes(li, "l_suppkey", skip="big").select("l_suppkey", F.array_join(F.transform("box", lambda v: F.round(v, 4).cast("string")), ",").alias("box"))
 
 
-@query("SELECT o_orderkey, 1.5 * 300 * o_totalprice / 100000 / 5 AS raw, least(greatest(1.5 * 300 * o_totalprice / 100000 / 5, 64), 336) AS side FROM orders")
+@query("SELECT o_orderkey, round(least(greatest(1.5 * 300 * o_totalprice / 100000 / 5, 64), 336), 6)::DOUBLE AS side FROM orders")
 def crop_sides(spark, sf_dir):
     side = S.crop_side(F.lit(300.0), F.col("o_totalprice") / 100000, F.lit(5.0), F.lit(336.0))
-    return t(spark, sf_dir, "orders").select("o_orderkey", (F.lit(1.5) * 300 * F.col("o_totalprice") / 100000 / 5).alias("raw"), side.alias("side"))
+    return t(spark, sf_dir, "orders").select("o_orderkey", r6(side).alias("side"))
