@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, language, media, minhash, scoring, sharding, suffix, superkmer, tokens
 from .common import table
@@ -45,8 +46,10 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses and score of every document, rounded to six digits: sums run in any order."""
     target = scoring.trained_on(table(spark, sf_dir, "labels"))
-    return scoring.score(table(spark, sf_dir, "documents"), target)
+    rows = scoring.score(table(spark, sf_dir, "documents"), target)
+    return rows.withColumns({c: F.round(c, 6) for c in ("target_loss", "background_loss", "score")})
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +72,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_dart_minhash": op10_dart_minhash,
 }
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op5_superkmer": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM d, unnest(range(1, len(w) - 18)) AS u(i)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM x),
+g AS (SELECT DISTINCT doc_id, j FROM f, unnest(range(i, i + 20)) AS u(j) WHERE k > 1),
+p AS (SELECT doc_id, j, w[j] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(j)),
+r AS (SELECT doc_id, count(g.j) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (g.j IS NULL) AS kept FROM p LEFT JOIN g USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)""",
+    "op10_dart_minhash": f"""
+WITH RECURSIVE t AS (SELECT min(doc_id) AS rep, text FROM documents GROUP BY text),
+w AS (SELECT rep, {_WORDS} AS w FROM t),
+s AS (SELECT DISTINCT rep, array_to_string(w[i:i + 4], ' ') AS s FROM w, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+c AS (SELECT x.rep AS a, y.rep AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.rep < y.rep GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n p ON p.rep = a JOIN n q ON q.rep = b WHERE 10 * k >= 8 * (p.n + q.n - k)),
+b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, class_id) AS (SELECT rep, rep FROM t UNION SELECT b.b, r.class_id FROM r JOIN b ON b.a = r.node WHERE r.class_id < b.b)
+SELECT doc_id, min(class_id) AS class_id FROM documents d JOIN t ON d.text IS NOT DISTINCT FROM t.text JOIN r ON r.node = t.rep GROUP BY doc_id""",
+}
