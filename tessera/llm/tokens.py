@@ -20,7 +20,6 @@ import array
 import itertools
 import json
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from ..operators.graph import written
 from . import rans
 from .common import BASE, NO_ID, expand, flat, held, mix, partitions, powers, slices, workspace
 
-BLOCK, CACHE, STRETCH = 1 << 18, 600_000, 1 << 18
+BLOCK, CACHE, STRETCH = 1 << 18, 2_000_000, 1 << 18
 _BLOCKS = "shard int, block int, doc_ids array<long>, sizes array<int>, n int, states binary, words binary, points binary, crc long"
 _SPACE, _LETTER, _DIGIT, _OTHER, _NEW = range(5)
 _kinds: list[np.ndarray] = []
@@ -112,8 +111,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.starts, self.flat = array.array("q", [0]), array.array("q")
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.starts, self.flat = array.array("q", [0]), array.array("i")
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces on end, and how many each has."""
@@ -123,7 +122,7 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and offsets of each text."""
-        if len(self.place) > CACHE:
+        if len(self.keys) > CACHE:
             self.forget()
         whole = {k: np.array(self.library.encode(t, add_special_tokens=False).ids, np.int64) for k, t in enumerate(texts) if t and any(s in t for s in self.special)}
         # Pieces are cut and hashed in stretches that fit into a processor's cache, and named together.
@@ -149,24 +148,22 @@ class Encoder:
         start, end, h, doc = (np.concatenate([g[i] for g in groups]) if groups else np.zeros(0, np.int64) for i in range(1, 5))
         ends = np.cumsum([len(g[1]) for g in groups])
         keys, where, inverse = np.unique(h.astype(np.uint64), return_index=True, return_inverse=True)
-        named, place = keys.tolist(), self.place
-        known = list(map(place.get, named))
-        new = [k for k, v in enumerate(known) if v is None]
-        if new:
+        i = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(self.keys[np.minimum(i, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
             at = where[new]
             of = np.searchsorted(ends, at, side="right").tolist()
-            pieces = [groups[g][0][a:b] for g, a, b in zip(of, start[at].tolist(), end[at].tolist())]
+            pieces = [groups[g][0][a:b] for g, a, b in zip(of, (start[at]).tolist(), end[at].tolist())]
             ids, size = self.encode_pieces(pieces)
-            base = len(self.starts) - 1
-            place.update(zip(keys[new].tolist(), range(base, base + len(new))))
-            for j, k in enumerate(new):
-                known[k] = base + j
+            self.places = np.insert(self.places, i[new], len(self.starts) - 1 + np.arange(len(new)))
+            self.keys = np.insert(self.keys, i[new], keys[new])
             self.starts.frombytes((self.starts[-1] + np.cumsum(size, dtype=np.int64)).tobytes())
-            self.flat.frombytes(ids.tobytes())
-        at = np.array(known, np.int64)[inverse]
+            self.flat.frombytes(ids.astype(np.int32).tobytes())
+            i = np.searchsorted(self.keys, keys)
+        at = self.places[i][inverse]
         starts = np.frombuffer(self.starts, np.int64)
         count = starts[at + 1] - starts[at]
-        known = np.frombuffer(self.flat, np.int64) if len(self.flat) else np.zeros(0, np.int64)
+        known = np.frombuffer(self.flat, np.int32) if len(self.flat) else np.zeros(0, np.int32)
         ids = known[expand(starts[at], count)]
         sizes = np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64) if len(doc) else np.zeros(len(texts), np.int64)
         if whole:
@@ -235,35 +232,36 @@ def write(docs: DataFrame, path: str, end_id: int = 1, at: str | None = None) ->
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id long, freq long").coalesce(1).write.parquet(f"{at}/tables")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("rans")  # drops what the encoder kept
         table, shard, block = rans.Table(freq), TaskContext.get().partitionId(), 0
         names = [x.split(" ")[0] for x in _BLOCKS.split(", ")]
         types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
 
-        def row(held):
-            ids = np.concatenate([x for _, x in held])
+        def row(waiting):
+            ids = np.concatenate([x for _, x in waiting])
             e = rans.encode(ids, table)
-            values = [shard, block, [d for d, _ in held], [len(x) for _, x in held], e["n"], e["states"], e["words"], e["points"], e["crc"]]
+            values = [shard, block, [d for d, _ in waiting], [len(x) for _, x in waiting], e["n"], e["states"], e["words"], e["points"], e["crc"]]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
-        held, size = [], 0
+        waiting, size = [], 0
         for batch in batches:
             for b in slices(batch, "ids"):
                 for doc, ids in zip(b.column("doc").to_pylist(), b.column("ids").to_pylist()):
-                    held.append((doc, np.frombuffer(ids, kind)))
-                    size += len(held[-1][1])
+                    waiting.append((doc, np.frombuffer(ids, kind)))
+                    size += len(waiting[-1][1])
                     if size >= BLOCK:
-                        yield row(held)
-                        held, size, block = [], 0, block + 1
-        if held:
-            yield row(held)
+                        yield row(waiting)
+                        waiting, size, block = [], 0, block + 1
+        if waiting:
+            yield row(waiting)
 
     ordered = packed.repartitionByRange(partitions(spark), "doc", "tag").sortWithinPartitions("doc", "tag")
     ordered.select("doc", "ids").mapInArrow(run, _BLOCKS).write.parquet(f"{at}/blocks")
     return at
 
 
-def read(spark: SparkSession, at: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (array<int>) of each document in the files."""
+def read(spark: SparkSession, at: str, binary: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids of each document in the files: array<int>, or 32-bit little-endian bytes."""
     table = spark.read.parquet(f"{at}/tables").toPandas()
     freq = np.zeros(int(table.id.max()) + 1, np.int64)
     freq[table.id.to_numpy()] = table.freq.to_numpy()
@@ -278,28 +276,26 @@ def read(spark: SparkSession, at: str) -> DataFrame:
     rows = blocks.join(F.broadcast(first), "shard").join(places, ["shard", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("rans")
         t = rans.Table(freq)
         for b in batches:
-            for r in b.to_pylist():
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
                 ids = rans.decode(r, t)
                 ends = np.cumsum(r["sizes"])
                 begin = np.concatenate([[0], ends[:-1]])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
+                if binary:
+                    raw = ids.astype("<u4").tobytes()
+                    lists = pa.array([raw[4 * a : 4 * e] for a, e in zip(begin.tolist(), ends.tolist())], pa.binary())
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
                 doc = np.array(r["doc_ids"], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NO_ID), pa.array(r["first"] + r["within"] + begin, pa.int64()), pa.array(np.array(r["sizes"], np.int64)), lists], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
+    return rows.mapInArrow(run, f"doc_id long, start long, n_tokens long, ids {'binary' if binary else 'array<int>'}")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of what the files hold."""
-    back = read(docs.sparkSession, write(docs, path))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("ids")
-            data, offsets = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
-            crc = [zlib.crc32(data[lo:hi].tobytes()) for lo, hi in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return back.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    back = read(docs.sparkSession, write(docs, path), binary=True)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
