@@ -9,13 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def scratch(spark, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, which is set to a local one where it is unset."""
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset (tests, one machine), a local one for this application."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        at = _own[app]
+    return at.rstrip("/")
+
+
+def scratch(spark, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
