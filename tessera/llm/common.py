@@ -9,8 +9,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import pickle
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +18,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import scratch
+
 try:  # Large arrays go back to the system when they are freed, also in workers that live on for other stages.
     ctypes.CDLL(None).mallopt(-3, 4 << 20)
 except (AttributeError, OSError):
@@ -50,18 +50,9 @@ def held(kind: str) -> dict:
     return _held[kind]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a folder of this machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def workspace(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
