@@ -30,7 +30,7 @@ from .common import expand, held
 #: Fixed: the published pattern that cuts texts into pieces before merging; `\s` is Unicode's White_Space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Distinct pieces that a worker keeps; the cache starts anew beyond it.
-CACHE = 150_000
+CACHE = 300_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -101,7 +101,7 @@ class Codec:
                 limit, left = a, parts[left][1]
             else:
                 limit, right = b + 1, parts[right][0]
-        if len(self.compatible) > CACHE:
+        if len(self.compatible) > CACHE // 2:
             self.compatible.clear()
         self.compatible[key] = ok
         return ok
