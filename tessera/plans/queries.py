@@ -159,7 +159,9 @@ def cosine_top1_gate(spark, sf_dir):
 
 def _centre_scores(e: DataFrame) -> DataFrame:
     c = cluster.centres(e, "label", "embedding").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda x: x["x"]).alias("c"))
-    return e.select("vec_id", "embedding").crossJoin(F.broadcast(c.limit(1000))).select("vec_id", "label", V.cosine("embedding", "c").alias("s"))
+    one = c.agg(F.collect_list(F.struct("label", "c")).alias("every"))  # one row
+    pairs = e.select("vec_id", "embedding").crossJoin(F.broadcast(one)).select("vec_id", "embedding", F.explode("every").alias("k"))
+    return pairs.select("vec_id", F.col("k.label").alias("label"), V.cosine("embedding", F.col("k.c")).alias("s"))
 
 
 @query(f"""
