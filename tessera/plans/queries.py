@@ -583,6 +583,20 @@ def components(spark, sf_dir):
     return graph.connected_components(edges)
 
 
+@query("""
+WITH RECURSIVE s AS (SELECT l_partkey, min(l_orderkey) AS a FROM lineitem GROUP BY l_partkey),
+p AS (SELECT DISTINCT s.a, l.l_orderkey AS b FROM lineitem l JOIN s USING (l_partkey) WHERE s.a <> l.l_orderkey),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM e GROUP BY a
+ UNION SELECT e.b, min(r.component) FROM r JOIN e ON e.a = r.node JOIN recurring.r AS k ON k.node = e.b WHERE r.component < k.component GROUP BY e.b)
+SELECT node, component FROM r""")
+def components_all(spark, sf_dir):
+    """Over every part: `components` and its SQL take those of 2 to 18 orders only."""
+    li = t(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey").distinct()
+    first = li.groupBy("l_partkey").agg(F.min("l_orderkey").alias("src"))
+    return graph.connected_components(li.join(first, "l_partkey").select("src", F.col("l_orderkey").alias("dst")))
+
+
 # Sequences
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar as S
 from tessera.functions import vector as V
 from tessera.operators import cluster, curve, evidence, graph, matching, overlap, ownership, quantile, sequence, spatial, voting
+from tessera.plans import queries as plans
 
 
 def test_assignment_is_optimal():
@@ -188,3 +189,16 @@ def test_bounded_samplers(spark):
     pts = spark.createDataFrame([(k, [1.0, 0.0] if k < 3 else [0.0, 1.0], int(k >= 3)) for k in range(6)], "id long, v array<double>, c int")
     got = cluster.assigned(pts, "id", "v", cluster.centres(pts, "c", "v"), "c").collect()
     assert {r.id: r.c for r in got} == {k: int(k >= 3) for k in range(6)}
+
+
+def test_components_take_parts_of_any_size(spark, tmp_path):
+    parts = {1: range(0, 30), 2: range(29, 33), 3: range(50, 90), 4: [100]}  # two have more than 18 orders, one has a single order
+    rows = [(p, o) for p, orders in parts.items() for o in orders]
+    spark.createDataFrame(rows + rows[:5], "l_partkey long, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    root = {o: o for _, o in rows}
+    for _ in root:
+        for orders in parts.values():
+            least = min(root[o] for o in orders)
+            root |= {o: least for o in orders}
+    got = [(r.node, r.component) for r in plans.QUERIES["components_all"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((o, c) for o, c in root.items() if o != 100)
