@@ -116,22 +116,60 @@ def _above(clusters: list[dict], k: int):
         yield k
 
 
-def clusters_by(points: DataFrame, by: str, id_: str, vec: str, least: int = 3, core_k: int | None = None, most: int = 5000, seed: int = 0, cluster=hdbscan) -> DataFrame:
-    """by, id, cluster of at most `most` points of each group, picked by a hash of the id (a documented sample); `cluster` may be any function of the array and `least`.
+def clusters_by(points: DataFrame, by: str, id_: str, vec: str, least: int = 3, core_k: int | None = None, most: int = 5000, seed: int = 0, cluster=hdbscan, scale: float = 10.0, threshold: float = 0.3) -> DataFrame:
+    """by, id, cluster, core of every point, by the direction of its vector; `cluster` may be any function of the array and `least`.
 
-    The sample is taken in Spark, so a group in Python has `most` rows at most."""
+    The fit sees at most `most` points of each group, picked by a hash of the id; `core` is its label, null of other points.
+    Then every point of the group goes to a fitted cluster's centre as in `assigned`: -1 below the threshold, where
+    the fit finds no cluster, and without a vector. A task in Python has about `most` points at once."""
+    import pyarrow as pa
     from pyspark.sql import Window
 
-    picked = points.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), id_), id_))).where(F.col("_r") <= most)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_)
-        x = np.stack(pdf[vec].to_numpy()).astype(float)
-        labels = cluster(x, least, core_k) if cluster is hdbscan else cluster(x, least)
-        return pd.DataFrame({by: pdf[by], id_: pdf[id_], "cluster": labels})
-
-    s = points.schema
-    return picked.select(by, id_, vec).groupBy(by).applyInPandas(run, f"{by} {s[by].dataType.simpleString()}, {id_} {s[id_].dataType.simpleString()}, cluster long")
+    kind = points.schema
+    type_of = lambda c: kind[c].dataType.simpleString()
+    h = F.xxhash64(F.lit(seed), id_)
+    rows = points.select(by, id_, F.col(vec).cast("array<double>").alias("_v"))
+    rows = rows.withColumn("_k", F.xxhash64(id_, "_v"))
+    some = rows.where(F.col("_v").isNotNull())
+    picked = some.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(h, id_, "_k"))).where(F.col("_r") <= most)
+
+    def units(column) -> np.ndarray:
+        x = np.stack(column).astype(float)
+        n = np.sqrt((x * x).sum(1, keepdims=True))
+        return x / np.where(n > 0, n, 1.0)
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(id_, "ascending"), ("_k", "ascending")])
+        x = units(table["_v"].to_numpy())
+        labels = np.asarray(cluster(x, least, core_k) if cluster is hdbscan else cluster(x, least)).astype(np.int64)
+        known = np.unique(labels[labels >= 0])
+        c = units([x[labels == k].mean(0) for k in known]) if len(known) else np.zeros((0, x.shape[1]))
+        n = [0]
+        return pa.table({by: table[by].take(n), "_names": pa.array([known.tolist()], pa.list_(pa.int64())), "_c": pa.array([c.ravel().tolist()], pa.list_(pa.float64())), "_ids": pa.array([table["_k"].to_pylist()], pa.list_(pa.int64())), "_labels": pa.array([labels.tolist()], pa.list_(pa.int64()))})
+
+    fitted = picked.select(by, id_, "_v", "_k").groupBy(by).applyInArrow(fit, f"{by} {type_of(by)}, _names array<bigint>, _c array<double>, _ids array<bigint>, _labels array<bigint>")
+    # Parts of a group of about `most` points, each with the group's centres.
+    parts = rows.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.count(F.lit(1)) / most).alias("_n"))
+    same = lambda df: df.join(parts, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    left = same(rows).withColumn("_p", F.pmod("_k", "_n")).drop("_n")
+    right = same(fitted).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
+
+    def assign(table: pa.Table, fit_: pa.Table) -> pa.Table:
+        to, core = np.full(len(table), -1, np.int64), [None] * len(table)
+        if len(fit_) and len(table):
+            names = np.array(fit_["_names"][0].as_py(), np.int64)
+            label = dict(zip(fit_["_ids"][0].as_py(), fit_["_labels"][0].as_py()))
+            core = [label.get(k) for k in table["_k"].to_pylist()]
+            has = np.flatnonzero(table["_v"].is_valid().to_numpy())
+            if len(names) and len(has):
+                c = np.array(fit_["_c"][0].as_py()).reshape(len(names), -1)
+                for at in np.array_split(has, -(-len(has) // 1024)):
+                    s = scale * (units(table["_v"].take(pa.array(at)).to_numpy()) @ c.T)
+                    share = 1.0 / np.exp(s - s.max(1, keepdims=True)).sum(1)
+                    to[at] = np.where(share >= threshold, names[s.argmax(1)], -1)
+        return pa.table({by: table[by], id_: table[id_], "cluster": to, "core": pa.array(core, pa.int64())})
+
+    return left.groupBy(by, "_p").cogroup(right.groupBy(by, "_p")).applyInArrow(assign, f"{by} {type_of(by)}, {id_} {type_of(id_)}, cluster long, core long")
 
 
 def centres(points: DataFrame, label: str, vec: str) -> DataFrame:
@@ -146,18 +184,29 @@ def centres(points: DataFrame, label: str, vec: str) -> DataFrame:
 def assigned(points: DataFrame, id_: str, vec: str, centre: DataFrame, label: str, scale: float = 10.0, threshold: float = 0.3, most: int = 10_000) -> DataFrame:
     """id, label, share: the centre of largest softmax(scale * cosine) (least label of equal ones), -1 below the threshold.
 
-    Centres are packed into one broadcast row; more than `most` of them raise."""
+    Centres are packed into one broadcast row; more than `most` of them into blocks of about as many, one after the other,
+    with the rows written between them, so that one block is in memory at a time."""
     from ..functions.vector import dot, unit
-
-    packed = centre.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("_c"))
-    one = packed.agg(F.array_sort(F.collect_list(F.struct(label, "_c"))).alias("_all"))
-    one = one.select(F.when(F.size("_all") <= most, F.col("_all")).otherwise(F.raise_error(F.lit("too many centres")).cast(one.schema["_all"].dataType)).alias("_all"))
-    at = points.select(id_, unit(vec).alias("_v")).crossJoin(F.broadcast(one))  # one row
-    sims = at.select(id_, F.transform("_all", lambda c: F.struct((F.lit(scale) * dot(F.col("_v"), c["_c"])).alias("s"), c[label].alias("l"))).alias("_s"))
-    top = F.aggregate("_s", F.lit(float("-inf")), lambda m, e: F.greatest(m, e["s"]))
-    total = F.aggregate("_s", F.lit(0.0), lambda t, e: t + F.exp(e["s"] - top))
-    best = F.array_min(F.transform(F.filter("_s", lambda e: e["s"] == top), lambda e: e["l"]))
-    return sims.select(id_, F.when(F.lit(1.0) / total >= threshold, best).otherwise(-1).alias(label), (F.lit(1.0) / total).alias("share"))
+    from .graph import written
+
+    blocks = -(-centre.select(label).distinct().count() // most) or 1
+    at = points.select(id_, unit(vec).alias("_v"), F.lit(float("-inf")).alias("_top"), F.lit(0.0).alias("_total"), F.lit(None).cast(centre.schema[label].dataType).alias("_best"))
+    for k in range(blocks):
+        if k:
+            at = written(at, "assigned")
+        block = centre.where(F.pmod(F.xxhash64(label), F.lit(blocks)) == k) if blocks > 1 else centre
+        packed = block.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("_c"))
+        one = packed.agg(F.array_sort(F.collect_list(F.struct(label, "_c"))).alias("_all"))
+        sims = at.crossJoin(F.broadcast(one))  # one row
+        sims = sims.withColumn("_s", F.transform("_all", lambda c: F.struct((F.lit(scale) * dot(F.col("_v"), c["_c"])).alias("s"), c[label].alias("l")))).drop("_all")
+        top = F.aggregate("_s", F.col("_top"), lambda m, e: F.greatest(m, e["s"]))
+        sims = sims.withColumn("_new", top)
+        total = F.aggregate("_s", F.when(F.col("_total") > 0, F.col("_total") * F.exp(F.col("_top") - F.col("_new"))).otherwise(0.0), lambda t, e: t + F.exp(e["s"] - F.col("_new")))
+        here = F.array_min(F.transform(F.filter("_s", lambda e: e["s"] == F.col("_new")), lambda e: e["l"]))
+        best = F.least(here, F.when(F.col("_top") == F.col("_new"), F.col("_best")))  # nulls are passed over
+        at = sims.select(id_, "_v", F.col("_new").alias("_top"), total.alias("_total"), best.alias("_best"))
+    share = F.lit(1.0) / F.col("_total")
+    return at.select(id_, F.when(share >= threshold, F.col("_best")).otherwise(-1).alias(label), share.alias("share"))
 
 
 def hash_sample(rows: DataFrame, id_: str, n: int, seed: int = 0) -> DataFrame:

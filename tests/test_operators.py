@@ -202,3 +202,25 @@ def test_components_take_parts_of_any_size(spark, tmp_path):
             root |= {o: least for o in orders}
     got = [(r.node, r.component) for r in plans.QUERIES["components_all"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted((o, c) for o, c in root.items() if o != 100)
+
+
+def test_groups_beyond_the_sample_are_assigned_whole(spark):
+    r = np.random.default_rng(4)
+    at = lambda k: [float(x) for x in np.eye(3)[k % 3] + r.normal(0, 0.02, 3)]
+    rows = [("a", k, at(k)) for k in range(900)] + [("b", k, at(0)) for k in range(2)] + [(None, 7, at(0)), ("a", 900, None), ("a", 5, at(5)), ("a", None, at(1))]
+    df = spark.createDataFrame(rows, "g string, id long, v array<double>").repartition(5)
+    got = cluster.clusters_by(df, "g", "id", "v", 5, most=120).collect()
+    assert sorted((str(x.g), str(x.id)) for x in got) == sorted((str(g), str(i)) for g, i, _ in rows)
+    of = {(x.g, x.id): x.cluster for x in got}
+    assert all(of["a", k] == of["a", k % 3] >= 0 for k in range(900)) and len({of["a", k] for k in range(3)}) == 3
+    assert of["b", 0] == of["b", 1] == of[None, 7] == of["a", 900] == -1 and of["a", None] == of["a", 1]
+    assert sum(x.core is not None for x in got if x.g == "a") == 120
+
+
+def test_more_centres_than_a_block(spark):
+    r = np.random.default_rng(6)
+    pts = spark.createDataFrame([(k, r.normal(size=3).tolist(), k % 7) for k in range(60)] + [(60, None, 0)], "id long, v array<double>, c int")
+    c = cluster.centres(pts, "c", "v")
+    c = c.unionAll(c.where("c = 3").withColumn("c", F.lit(9)))  # equal centres, perhaps in two blocks
+    rows = lambda most: [(x.id, x.c, None if x.share is None else round(x.share, 9)) for x in cluster.assigned(pts, "id", "v", c, "c", most=most).orderBy("id").collect()]
+    assert rows(2) == rows(10_000) and len(rows(2)) == 61
