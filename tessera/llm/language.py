@@ -157,14 +157,15 @@ class Models:
 def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", chars: int = CHARS, most_docs: int = DOCS) -> dict[str, str]:
     """Training text of each language, at most `chars` characters each; bounded whatever the input's size."""
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull())
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(LANGS + 1).collect()}
+    h = F.xxhash64("t")
+    # Of distinct texts: copies pass or fail together.
+    counts = {r.l: r.n for r in rows.select("l", h.alias("h")).distinct().groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(LANGS + 1).collect()}
     if len(counts) > LANGS:
         raise ValueError(f"more than {LANGS} languages")
     if not counts:
         return {}
     # A threshold on the hash lets about most_docs / 2 texts of each language through.
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most_docs / 2 / n))])
-    h = F.xxhash64("t")
     picked = rows.where(F.pmod(h, F.lit(1 << 30)) < share[F.col("l")] * (1 << 30)).withColumn("h", h)
     took: dict[str, list[str]] = {}
     bounded = picked.select("l", "h", F.substring("t", 1, chars).alias("t")).dropDuplicates(["l", "h"]).orderBy("h", "l").limit(len(counts) * most_docs)

@@ -46,3 +46,10 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = language.predict(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in rows) / len(rows) > 0.95
+
+
+def test_language_of_copies_is_learned(spark):
+    en = [f"the cat sat on mat number {k}" for k in range(3)]
+    df = spark.createDataFrame([(en[k % 3], "en") for k in range(30_000)] + [(f"der hund und die katze {k}", "de") for k in range(400)], "text string, lang string")
+    texts = language.sample(df)
+    assert sorted(texts) == ["de", "en"] and all(t in texts["en"] for t in en)
