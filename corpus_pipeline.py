@@ -32,10 +32,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each class, once; documents without doc_id stay."""
-    keep = minhash.classes(docs.select("doc_id", "text")).where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionAll(docs.select(*COLUMNS).where("doc_id IS NULL"))
+    """Keeps the document with the least doc_id of each class, once; a document is a pair of doc_id and text, ids come before none."""
+    docs = docs.select(*COLUMNS)
+    h1, h2 = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    texts = docs.groupBy("doc_id").agg(F.min(h1).alias("lo"), F.max(h1).alias("hi"), F.min(h2).alias("lo2"), F.max(h2).alias("hi2"))
+    if texts.where("doc_id IS NULL OR lo <> hi OR lo2 <> hi2").isEmpty():  # a doc_id says which document it is
+        keep = minhash.classes(docs.select("doc_id", "text")).where("doc_id = class_id").select("doc_id").distinct()
+        return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keyed = docs.withColumn("_k", F.xxhash64(F.lit(2), "doc_id", "text"))
+    found = minhash.classes(keyed.select(F.col("_k").alias("doc_id"), "text")).distinct().withColumnRenamed("doc_id", "_k")
+    each = keyed.select("_k", "doc_id", h1.alias("_1"), h2.alias("_2")).distinct().join(found, "_k")
+    least = each.groupBy("class_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_1", "_2", "_k")).alias("d"))
+    keep = least.select("d._k", "d._1", "d._2")
+    kept = keyed.withColumns({"_1": h1, "_2": h2}).join(keep, ["_k", "_1", "_2"], "left_semi")
+    return kept.dropDuplicates(["_k", "_1", "_2"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,13 @@ def test_empty_and_clashing(spark, tmp_path):
         for _, stage in p.STAGES:
             rows = stage(spark, rows, str(tmp_path))
         assert sorted(x.doc_id or 0 for x in rows.collect()) == want
+
+
+def test_reused_and_missing_doc_ids(spark):
+    r = random.Random(8)
+    text = [" ".join(f"w{r.randrange(999)}" for _ in range(60)) for _ in range(6)]
+    rows = [(1, text[0]), (1, text[1]), (1, text[1]), (2, text[1] + " tail"), (3, text[2]), (None, text[2]), (None, text[3]), (None, text[3]), (None, text[3] + " tail"), (None, text[4]), (4, text[5])]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(x.doc_id, x.text) for x in p.near_dedup(spark, df, "").collect()]
+    assert len(got) == 6 and {(1, text[0]), (1, text[1]), (3, text[2]), (None, text[4]), (4, text[5])} < set(got)
+    assert sum(d is None and t.startswith(text[3]) for d, t in got) == 1
