@@ -20,6 +20,13 @@ def identity_pairs(spark, sf_dir):
     return overlap.identity_pairs(li, "l_suppkey", "l_partkey", 3, 0.05, 0.1).select("l_suppkey", "l_suppkey_2", "inter")
 
 
+@query(f"""WITH {_SETS.replace(" WHERE l_quantity > 25", "")} SELECT i.a AS l_suppkey, i.b AS l_suppkey_2, k AS inter FROM i JOIN n p ON p.a = i.a JOIN n q ON q.a = i.b
+WHERE k >= 3 AND k / (p.n + q.n - k)::DOUBLE >= 0.05 AND k / p.n::DOUBLE >= 0.1 AND k / q.n::DOUBLE >= 0.1""")
+def identity_pairs_all(spark, sf_dir):
+    """Over every row of lineitem: `identity_pairs` and its SQL take those of more than 25 pieces only."""
+    return overlap.identity_pairs(t(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", 3, 0.05, 0.1).select("l_suppkey", "l_suppkey_2", "inter")
+
+
 @query("""
 WITH c AS (SELECT o_custkey, sha256(string_agg(k, '|' ORDER BY k)) AS content FROM (SELECT DISTINCT o_custkey, o_orderpriority AS k FROM orders) GROUP BY o_custkey)
 SELECT o_custkey, content, min(o_custkey) OVER (PARTITION BY content) AS alias FROM c""")
@@ -92,6 +99,16 @@ def stable_improvement(spark, sf_dir):
     return evidence.stable_improvement(c, "c_nationkey", "d")
 
 
+@query("""
+WITH d AS (SELECT c_nationkey || '/' || c_mktsegment AS g, (round(c_acctbal * 100)::BIGINT) AS d FROM customer),
+l AS (SELECT g, d, CASE WHEN count(*) OVER w > 1 THEN (sum(d) OVER w - d)::DOUBLE / (count(*) OVER w - 1) ELSE d END AS l FROM d WINDOW w AS (PARTITION BY g))
+SELECT g, least(min(d), min(l)) >= -1e-12 AND greatest(max(d), max(l)) > 1e-12 AS stable FROM l GROUP BY g""")
+def stable_improvement_all(spark, sf_dir):
+    """Over all customers, whose balances have either sign: `stable_improvement` and its SQL take those above 9,000 only."""
+    c = t(spark, sf_dir, "customer").select(F.concat_ws("/", "c_nationkey", "c_mktsegment").alias("g"), F.round(F.col("c_acctbal") * 100).cast("double").alias("d"))
+    return evidence.stable_improvement(c, "g", "d")
+
+
 @query("""
 SELECT l_partkey, count(DISTINCT l_suppkey) FILTER (l_returnflag = 'A') >= 2 AND NOT bool_or(l_returnflag = 'R') AS accepted FROM lineitem GROUP BY l_partkey""")
 def accepted_regions(spark, sf_dir):

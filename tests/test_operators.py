@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar as S
 from tessera.functions import vector as V
 from tessera.operators import cluster, curve, evidence, graph, matching, overlap, ownership, quantile, sequence, spatial, voting
+from tessera.plans import more  # noqa: F401  registers its queries
 from tessera.plans import queries as plans
 
 
@@ -224,3 +225,12 @@ def test_more_centres_than_a_block(spark):
     c = c.unionAll(c.where("c = 3").withColumn("c", F.lit(9)))  # equal centres, perhaps in two blocks
     rows = lambda most: [(x.id, x.c, None if x.share is None else round(x.share, 9)) for x in cluster.assigned(pts, "id", "v", c, "c", most=most).orderBy("id").collect()]
     assert rows(2) == rows(10_000) and len(rows(2)) == 61
+
+
+def test_queries_take_all_rows(spark, tmp_path):
+    items = [(s, p, 10.0) for s in (1, 2) for p in range(4)] + [(3, 9, 30.0)]
+    spark.createDataFrame(items, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "a", 5.0), (1, "a", -2.0), (1, "b", 3.0), (2, "a", 7.5)], "c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [tuple(r) for r in plans.QUERIES["identity_pairs_all"](spark, str(tmp_path)).collect()] == [(1, 2, 4)]
+    got = {r.g: r.stable for r in plans.QUERIES["stable_improvement_all"](spark, str(tmp_path)).collect()}
+    assert got == {"1/a": False, "1/b": True, "2/a": True}
