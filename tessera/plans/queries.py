@@ -270,7 +270,7 @@ def prior_hierarchy(spark, sf_dir):
 @query()
 def bootstrap_width(spark, sf_dir):
     rows = _by_nation(spark, sf_dir).withColumn("v", F.log("o_totalprice"))
-    return quantile.bootstrap_width(rows, "n_name", "c_custkey", "v", 200).withColumn("width", r6("width"))
+    return quantile.bootstrap_width(rows, "n_name", "c_custkey", "v").withColumn("width", r6("width"))
 
 
 # Labels and text

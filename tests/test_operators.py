@@ -234,3 +234,11 @@ def test_queries_take_all_rows(spark, tmp_path):
     assert [tuple(r) for r in plans.QUERIES["identity_pairs_all"](spark, str(tmp_path)).collect()] == [(1, 2, 4)]
     got = {r.g: r.stable for r in plans.QUERIES["stable_improvement_all"](spark, str(tmp_path)).collect()}
     assert got == {"1/a": False, "1/b": True, "2/a": True}
+
+
+def test_bootstrap_width_takes_all_draws(spark):
+    at = "/root/testdata/sf0.001"
+    got = {r.n_name: r.width for r in plans.QUERIES["bootstrap_width"](spark, at).collect()}
+    rows = plans._by_nation(spark, at).withColumn("v", F.log("o_totalprice"))
+    want = {r.n_name: round(r.width, 6) for r in quantile.bootstrap_width(rows, "n_name", "c_custkey", "v", 2000).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
