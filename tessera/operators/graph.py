@@ -35,6 +35,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the table that `written` returned; no later query may read it."""
+    spark = df.sparkSession
+    for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if at.rstrip("/").rsplit("/", 1)[0].split(":", 1)[-1].rstrip("/").endswith(shared_dir(spark).split(":", 1)[-1].rstrip("/")):
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """`node`, `component` (its least node) of every node that has an edge to another; direction does not matter.
 
