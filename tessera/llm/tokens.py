@@ -1,12 +1,14 @@
 """Token ids in files of independent, entropy-coded blocks.
 
 Texts are encoded by the tokenizers library, piece by distinct piece: pieces are cut as the vocabulary's
-pre-tokenizer does (letters, single digits, other marks, English endings), by character class over arrays; a
-text with a special token in it, or with characters newer than Python's tables, goes through the library whole. An end id follows each document.
+pre-tokenizer does (letters, single digits, other marks, English endings), by character class over arrays, and named
+by a 64-bit hash; the library's model encodes each new piece once. A text goes through the library whole if it has a special
+token in it, characters that normalisation might compose, reorder or replace (combining marks, Hangul letters and
+the like), or characters newer than Python's tables. An end id follows each document.
 
 File format: Parquet in the shared folder. `tables` has the shared frequencies (id, freq; adding up to
-2**20) of the static range asymmetric numeral system; `blocks` a row for each block: shard and block (order),
-doc_ids and sizes of its documents, n, and states, words, points (checkpoints) and crc of rans.encode. Shards
+2**20) of the static range asymmetric numeral system; `blocks` a row for each block: shard and block (order), ids
+before it in its shard, doc_ids and sizes of its documents, n, and states, words, points (checkpoints) and crc of rans.encode. Shards
 are ranges of doc_id in ascending order (null first; ties by hash of text), blocks hold whole documents, about
 BLOCK ids; each decodes by itself, or from its checkpoints in parts.
 
@@ -17,7 +19,6 @@ table gives files without blocks. Other columns are ignored.
 from __future__ import annotations
 
 import array
-import itertools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -28,12 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import written
+from ..operators.graph import dropped, written
 from . import rans
-from .common import BASE, NO_ID, expand, flat, held, mix, partitions, powers, slices, workspace
+from .common import BASE, NO_ID, expand, flat, held, partitions, slices, workspace
+from .repeats import range_hashes
 
 BLOCK, CACHE, STRETCH = 1 << 18, 2_000_000, 1 << 18
-_BLOCKS = "shard int, block int, doc_ids array<long>, sizes array<int>, n int, states binary, words binary, points binary, crc long"
+#: Slots by which known pieces are found, two for each; a piece whose slots others have taken since is encoded again.
+SLOTS = 1 << 22
+_BLOCKS = "shard int, block int, before long, doc_ids array<long>, sizes array<int>, n int, states binary, words binary, points binary, crc long"
 _SPACE, _LETTER, _DIGIT, _OTHER, _NEW = range(5)
 _kinds: list[np.ndarray] = []
 
@@ -43,16 +47,19 @@ def kinds() -> np.ndarray:
     if not _kinds:
         of = {"L": _LETTER, "N": _DIGIT}
         names = [unicodedata.category(chr(c)) for c in range(0x110000)]
-        # What Python's tables don't know yet may be a letter to the library.
-        k = np.fromiter((_NEW if n == "Cn" else of.get(n[0], _OTHER) for n in names), np.uint8, 0x110000)
+        # What Python's tables don't know yet may be a letter to the library, and marks may compose or change places.
+        k = np.fromiter((_NEW if n == "Cn" or n[0] == "M" else of.get(n[0], _OTHER) for n in names), np.uint8, 0x110000)
         k[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = _SPACE
+        k[[c for c in range(0x110000) if unicodedata.decomposition(chr(c)) and unicodedata.normalize("NFC", chr(c)) != chr(c)]] = _NEW
+        k[[*range(0x1100, 0x1200), *range(0xA960, 0xA980), *range(0xD7B0, 0xD800)]] = _NEW  # Hangul letters join to syllables
+        k[0x130] = _NEW  # its lower case has a mark
         _kinds.append(k)
     return _kinds[0]
 
 
 def lowered(text: str) -> str:
-    """NFC, then lower case character by character."""
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    """Lower case character by character."""
+    return text.replace("Σ", "σ").lower()
 
 
 _random: list[np.ndarray] = []
@@ -86,12 +93,10 @@ def cut(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = np.flatnonzero(begin)
     if not len(start):
         return start, start, start.astype(np.uint64)
-    size = np.diff(start, append=len(p))
-    within = np.arange(len(p)) - np.repeat(start, size)
-    h = np.add.reduceat(random_of_point()[p] * powers(BASE, int(size.max()))[within], start)
+    end = np.append(start[1:], len(p))
     keep = np.flatnonzero(kind[start] != _SPACE)
-    start, size = start[keep], size[keep]
-    return start, start + size, mix(h[keep] + size.astype(np.uint64))
+    start, end = start[keep], end[keep]
+    return start, end, range_hashes(random_of_point()[p], start, end, BASE)
 
 
 class Encoder:
@@ -101,77 +106,91 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        # Pieces are normalised and cut already: the library's model alone encodes them, by its byte-level letters.
+        # Pieces are normalised and cut already: the library's model alone encodes them, by its byte-level letters, from one
+        # text with a line for each.
         spec = json.load(open(path, encoding="utf-8"))
         steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
-        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": next(s for s in steps if s["type"] == "ByteLevel") | {"use_regex": False}}
+        letters = next(s for s in steps if s["type"] == "ByteLevel") | {"use_regex": False}
+        lines = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [lines, letters]}}
         self.model = Tokenizer.from_str(json.dumps(spec))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.size = self.library.get_vocab_size()
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.places = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.starts, self.flat = array.array("q", [0]), array.array("i")
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces on end, and how many each has."""
-        each = [x.ids for x in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        return np.fromiter(itertools.chain.from_iterable(each), np.int64, int(size.sum())), size
+        x = self.model.encode("\n".join(pieces), add_special_tokens=False)
+        size = np.bincount(np.array(x.word_ids, np.int64), minlength=len(pieces)) if pieces else np.zeros(0, np.int64)
+        return np.array(x.ids, np.int64), size
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
 
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and offsets of each text."""
-        if len(self.keys) > CACHE:
+        if len(self.starts) > CACHE:
             self.forget()
-        whole = {k: np.array(self.library.encode(t, add_special_tokens=False).ids, np.int64) for k, t in enumerate(texts) if t and any(s in t for s in self.special)}
-        # Pieces are cut and hashed in stretches that fit into a processor's cache, and named together.
-        groups, held, size = [], [], 0
+        whole = {k: self.whole(t) for k, t in enumerate(texts) if t and any(s in t for s in self.special)}
+        parts, sizes, held, size, first = [], [], [], 0, 0
+        # Texts are taken in stretches that fit into a processor's cache.
         for k, t in enumerate(texts):
-            held.append(" " if t is None or k in whole else lowered(t) + " ")
+            held.append(" " if t is None or k in whole else t + " ")
             size += len(held[-1])
             if size >= STRETCH or k == len(texts) - 1:
-                joined = "".join(held)
-                p = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-                if (kinds()[p] == _NEW).any():
-                    first = k + 1 - len(held)
+                if not "".join(held).isascii():
                     for j, part in enumerate(held):
-                        if part != " " and any(kinds()[ord(c)] == _NEW for c in set(part)):
+                        if not part.isascii() and (kinds()[np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32)] == _NEW).any():
                             held[j] = " "
-                            whole[first + j] = np.array(self.library.encode(texts[first + j], add_special_tokens=False).ids, np.int64)
-                    joined = "".join(held)
-                    p = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-                start, end, h = cut(p)
-                doc = np.searchsorted(np.cumsum([len(x) for x in held]), start, side="right") + k + 1 - len(held)
-                groups.append((joined, start, end, h, doc))
-                held, size = [], 0
-        start, end, h, doc = (np.concatenate([g[i] for g in groups]) if groups else np.zeros(0, np.int64) for i in range(1, 5))
-        ends = np.cumsum([len(g[1]) for g in groups])
-        keys, where, inverse = np.unique(h.astype(np.uint64), return_index=True, return_inverse=True)
-        i = np.searchsorted(self.keys, keys)
-        new = np.flatnonzero(self.keys[np.minimum(i, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+                            whole[first + j] = self.whole(texts[first + j])
+                held = [lowered(x) for x in held]
+                ids, n = self._stretch(held)
+                parts.append(ids)
+                sizes.append(n)
+                held, size, first = [], 0, k + 1
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        if whole:
+            pieces = np.split(ids, np.cumsum(n)[:-1])
+            for k, x in whole.items():
+                pieces[k], n[k] = x, len(x)
+            ids = np.concatenate(pieces)
+        return ids, np.concatenate([[0], np.cumsum(n)])
+
+    def _stretch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-cased texts that end in a blank each, and how many each has."""
+        joined = "".join(texts)
+        p = np.frombuffer(joined.encode("latin-1"), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+        start, end, h = cut(p)
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        new = np.flatnonzero(self.keys[slot] != h)
+        at = self.places[slot]
+        if len(new):
+            slot[new] = ((h[new] >> np.uint64(32)) & np.uint64(SLOTS - 1)).astype(np.int64)
+            at[new] = self.places[slot[new]]
+            new = new[self.keys[slot[new]] != h[new]]
         if len(new):
-            at = where[new]
-            of = np.searchsorted(ends, at, side="right").tolist()
-            pieces = [groups[g][0][a:b] for g, a, b in zip(of, (start[at]).tolist(), end[at].tolist())]
-            ids, size = self.encode_pieces(pieces)
-            self.places = np.insert(self.places, i[new], len(self.starts) - 1 + np.arange(len(new)))
-            self.keys = np.insert(self.keys, i[new], keys[new])
+            _, one, of = np.unique(h[new], return_index=True, return_inverse=True)
+            one = new[one]
+            ids, size = self.encode_pieces([joined[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())])
+            places = len(self.starts) - 1 + np.arange(len(one))
             self.starts.frombytes((self.starts[-1] + np.cumsum(size, dtype=np.int64)).tobytes())
             self.flat.frombytes(ids.astype(np.int32).tobytes())
-            i = np.searchsorted(self.keys, keys)
-        at = self.places[i][inverse]
+            at[new] = places[of]
+            to = (h[one] & np.uint64(SLOTS - 1)).astype(np.int64)
+            to = np.where(self.keys[to] == 0, to, slot[one])
+            # Of two that share a slot the last one written stays, with its own key: both writes go by the same order.
+            self.places[to], self.keys[to] = places, h[one]
         starts = np.frombuffer(self.starts, np.int64)
-        count = starts[at + 1] - starts[at]
-        known = np.frombuffer(self.flat, np.int32) if len(self.flat) else np.zeros(0, np.int32)
-        ids = known[expand(starts[at], count)]
-        sizes = np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64) if len(doc) else np.zeros(len(texts), np.int64)
-        if whole:
-            pieces = np.split(ids, np.cumsum(sizes)[:-1])
-            for k, x in whole.items():
-                pieces[k], sizes[k] = x, len(x)
-            ids = np.concatenate(pieces)
-        return ids, np.concatenate([[0], np.cumsum(sizes)])
+        begin = starts[at]
+        count = starts[at + 1] - begin
+        ids = np.frombuffer(self.flat, np.int32)[expand(begin, count)] if len(self.flat) else np.zeros(0, np.int32)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        return ids, np.diff(ends[np.concatenate([[0], np.searchsorted(start, np.cumsum([len(x) for x in texts]))])])
 
 
 def encoder(path: str) -> Encoder:
@@ -233,14 +252,14 @@ def write(docs: DataFrame, path: str, end_id: int = 1, at: str | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("rans")  # drops what the encoder kept
-        table, shard, block = rans.Table(freq), TaskContext.get().partitionId(), 0
+        table, shard, block, before = rans.Table(freq), TaskContext.get().partitionId(), 0, 0
         names = [x.split(" ")[0] for x in _BLOCKS.split(", ")]
-        types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
 
         def row(waiting):
             ids = np.concatenate([x for _, x in waiting])
             e = rans.encode(ids, table)
-            values = [shard, block, [d for d, _ in waiting], [len(x) for _, x in waiting], e["n"], e["states"], e["words"], e["points"], e["crc"]]
+            values = [shard, block, before, [d for d, _ in waiting], [len(x) for _, x in waiting], e["n"], e["states"], e["words"], e["points"], e["crc"]]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
         waiting, size = [], 0
@@ -251,12 +270,13 @@ def write(docs: DataFrame, path: str, end_id: int = 1, at: str | None = None) ->
                     size += len(waiting[-1][1])
                     if size >= BLOCK:
                         yield row(waiting)
-                        waiting, size, block = [], 0, block + 1
+                        waiting, size, block, before = [], 0, block + 1, before + size
         if waiting:
             yield row(waiting)
 
     ordered = packed.repartitionByRange(partitions(spark), "doc", "tag").sortWithinPartitions("doc", "tag")
     ordered.select("doc", "ids").mapInArrow(run, _BLOCKS).write.parquet(f"{at}/blocks")
+    dropped(packed)
     return at
 
 
@@ -267,13 +287,7 @@ def read(spark: SparkSession, at: str, binary: bool = False) -> DataFrame:
     freq[table.id.to_numpy()] = table.freq.to_numpy()
     blocks = spark.read.schema(_BLOCKS).parquet(f"{at}/blocks")
     sizes = blocks.groupBy("shard").agg(F.sum(F.col("n").cast("long")).alias("n")).orderBy("shard").collect()  # a row for each shard
-    ends = np.cumsum([r.n for r in sizes]) if sizes else np.zeros(0, np.int64)
-    first = spark.createDataFrame([(r.shard, int(e - r.n)) for r, e in zip(sizes, ends)], "shard int, first long")
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    places = blocks.select("shard", "block", "n").withColumn("within", F.coalesce(F.sum(F.col("n").cast("long")).over(before), F.lit(0))).drop("n")
-    rows = blocks.join(F.broadcast(first), "shard").join(places, ["shard", "block"])
+    first = dict(zip([r.shard for r in sizes], np.cumsum([0, *(r.n for r in sizes)]).tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("rans")
@@ -290,9 +304,9 @@ def read(spark: SparkSession, at: str, binary: bool = False) -> DataFrame:
                 else:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
                 doc = np.array(r["doc_ids"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NO_ID), pa.array(r["first"] + r["within"] + begin, pa.int64()), pa.array(np.array(r["sizes"], np.int64)), lists], names=["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NO_ID), pa.array(first[r["shard"]] + r["before"] + begin, pa.int64()), pa.array(np.array(r["sizes"], np.int64)), lists], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return rows.mapInArrow(run, f"doc_id long, start long, n_tokens long, ids {'binary' if binary else 'array<int>'}")
+    return blocks.mapInArrow(run, f"doc_id long, start long, n_tokens long, ids {'binary' if binary else 'array<int>'}")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

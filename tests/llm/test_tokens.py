@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -30,6 +31,30 @@ def test_any_text(texts):
     same(texts)
 
 
+def test_marks_in_any_order():
+    marks = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M"]
+    r = random.Random(5)
+    same(["\u1df9\u0328", "\u0314\u0c3c", "\u1ac5\u031d", "\u08cc\u0347", "\u1100\u1161\u11a8", "\u212b \u2126", "e\u0301", "\u0915\u093c"])
+    for k in range(0, len(marks), 400):
+        same(["a" + m + x for m in marks[k : k + 400] for x in r.sample(marks, 8)])
+
+
+def test_random_texts():
+    r = random.Random(6)
+    point = lambda: chr(r.choice([r.randrange(0x20, 0x250), r.randrange(0x250, 0x3000), r.randrange(0xE000, 0x20000), 0x20]))
+    for _ in range(25):
+        same(["".join(point() for _ in range(r.randrange(12))) for _ in range(2000)])
+
+
+def test_few_slots(monkeypatch):
+    monkeypatch.setattr(tokens, "SLOTS", 16)
+    own = tokens.Encoder(PATH)
+    texts = [" ".join(f"w{k % 37}" for k in range(n)) for n in range(200)]
+    for _ in range(2):
+        ids, offsets = own.encode_all(texts)
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 70_000), st.integers(1, 3000), st.integers(0, 99))
 def test_rans_round_trip(n, symbols, seed):
