@@ -183,11 +183,12 @@ def windows(h: np.ndarray, n: int, base: np.uint64 = BASE) -> np.ndarray:
     return mix(out)
 
 
-def sliding_argmin(key: np.ndarray, w: int) -> np.ndarray:
+def sliding_argmin(key: np.ndarray, w: int, most: int = 1 << 27) -> np.ndarray:
     """Position of the smallest of each w neighbours, the leftmost of equal ones; keys count to 37 bits."""
     if len(key) < w:
         return np.zeros(0, np.int64)
-    assert len(key) < 1 << 27
+    if len(key) > most:  # in parts that share w - 1 keys
+        return np.concatenate([lo + sliding_argmin(key[lo : lo + most], w, most) for lo in range(0, len(key) - w + 1, most - w + 1)])
     cur = ((key >> U(27)) << U(27)) | np.arange(len(key), dtype=np.uint64)
     step = 1
     while step * 2 <= w:

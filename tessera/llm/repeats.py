@@ -9,8 +9,8 @@ Rows travel packed: each task sends one compressed blob to each bucket, and a gr
 blob of each bucket. Of equal runs a task sends the first only; what a document is not told about a run
 of its own means that the run's windows all started earlier elsewhere.
 
-A document is named by doc_id and 16 bits of a hash of its text: repeated rows are one document, rows
-that reuse a doc_id stay apart. A null doc_id orders before all others.
+A document is named by doc_id and a 64-bit hash of its text, and dealt to groups by both: repeated rows are one
+document, rows that reuse a doc_id or have none stay apart. A null doc_id orders before all others.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import BASE, BASE_2, BYTE_1, BYTE_2, NO_ID, U, expand, flat, held, inverse, mix, pack, partitions, powers, slices, sliding_argmin, unpack, windows, words
 
 CELLS, HOT = 1 << 16, 16
-#: Documents are dealt to groups by doc_id modulo this prime, scrambled: the same in Spark and in numpy.
+#: Documents are dealt to groups by doc_id and hash modulo this prime, scrambled: the same in Spark and in numpy.
 PRIME = 2_147_483_647
 #: Bytes of text whose runs a task packs at once.
 FLUSH = 12 << 20
@@ -136,12 +136,13 @@ def n_groups(df: DataFrame) -> int:
 
 def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc, tag, grp (by which documents are dealt) and text, and further columns by number (c0, c1 ...)."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
-    return docs.select(doc.alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("tag"), F.pmod(doc, F.lit(PRIME)).cast("int").alias("p"), "text", *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]).withColumn("grp", (F.col("p").cast("long") * 48_271 % PRIME % n_groups(docs)).cast("int")).drop("p")
+    doc, tag = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")), F.xxhash64("text")
+    grp = (F.pmod(doc, F.lit(PRIME)) * 48_271 + F.pmod(tag, F.lit(PRIME)) * 16_807) % PRIME % n_groups(docs)
+    return docs.select(doc.alias("doc"), tag.alias("tag"), grp.cast("int").alias("grp"), "text", *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
 
 
-def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
-    return np.mod(doc, np.int64(PRIME)) * 48_271 % PRIME % groups
+def group_of(doc: np.ndarray, tag: np.ndarray, groups: int) -> np.ndarray:
+    return (np.mod(doc, np.int64(PRIME)) * 48_271 + np.mod(tag, np.int64(PRIME)) * 16_807) % PRIME % groups
 
 
 def order(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -170,14 +171,14 @@ def packed_slices(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
 
 
 def joined(blobs: list[bytes]) -> list[np.ndarray]:
-    """The arrays of all blobs on end, the first of each being differences."""
+    """The arrays of all blobs on end, the first two of each being differences (of doc and tag)."""
     parts = [unpack(b) for b in blobs]
-    out = [np.concatenate([np.cumsum(p[0]) for p in parts])]
-    return out + [np.concatenate(x) for x in list(zip(*parts))[1:]]
+    out = [np.concatenate([np.cumsum(p[k]) for p in parts]) for k in (0, 1)]
+    return out + [np.concatenate(x) for x in list(zip(*parts))[2:]]
 
 
 def name_hash(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return mix(mix(doc.astype(np.int64).view(np.uint64)) + (tag.astype(np.uint64) << U(40)) + at.astype(np.uint64))
+    return mix(mix(mix(doc.astype(np.int64).view(np.uint64)) + tag.astype(np.int64).view(np.uint64)) + at.astype(np.uint64))
 
 
 class Known:

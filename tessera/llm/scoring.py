@@ -141,9 +141,11 @@ def score(docs: DataFrame, target: DataFrame, share: float = MIX) -> DataFrame:
     """SCHEMA and `score` for every row of documents (doc_id, text); `target` has the ids of the target's documents."""
     groups, buckets = 2 * partitions(docs.sparkSession), partitions(docs.sparkSession)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
-    grp = F.pmod(F.xxhash64(doc), F.lit(groups)).cast("int").alias("grp")
-    marks = target.select(doc.alias("doc"), grp, F.lit(None).cast("string").alias("text"), F.lit(True).alias("mark")).distinct()
-    rows = docs.select(doc.alias("doc"), grp, "text", F.lit(False).alias("mark")).unionAll(marks)
+    # Documents without an id are dealt by their texts, and their mark goes to all groups.
+    grp = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(doc)), F.lit(groups)).cast("int")
+    to = F.when(F.col("doc_id").isNull(), F.sequence(F.lit(0), F.lit(groups - 1))).otherwise(F.array(F.pmod(F.xxhash64(doc), F.lit(groups)).cast("int")))
+    marks = target.select("doc_id").distinct().select(doc.alias("doc"), F.explode(to).alias("grp"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("mark"))
+    rows = docs.select(doc.alias("doc"), grp.alias("grp"), "text", F.lit(False).alias("mark")).unionAll(marks)
 
     def loss(c_pair, c_before, c_word, n):
         known = np.where(c_before > 0, c_pair / np.maximum(c_before, 1), 0.0)

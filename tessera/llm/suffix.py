@@ -65,7 +65,7 @@ def ranks(rows: DataFrame, hot: np.ndarray, rule: R.Rule, buckets: int) -> DataF
         for bucket, part in R.dealt(bucket_of(key[o], buckets), buckets):
             p = o[part]
             low = key[p] & _LOW
-            out.append((bucket, pack(R.delta(doc[p]), tag[p].astype(np.uint16), at[p].astype(np.uint32), (low >> U(32)).astype(np.uint8), low.astype(np.uint32), t1[p])))
+            out.append((bucket, pack(R.delta(doc[p]), R.delta(tag[p]), at[p].astype(np.uint32), (low >> U(32)).astype(np.uint8), low.astype(np.uint32), t1[p])))
         if out:
             yield R.blob_batch("bucket", out)
 
@@ -97,9 +97,9 @@ def first_runs(sent: DataFrame, groups: int) -> DataFrame:
         _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         open_ = count[inverse] > 1
         out = []
-        for grp, part in R.dealt(R.group_of(doc[o], groups), groups):
+        for grp, part in R.dealt(R.group_of(doc[o], tag[o], groups), groups):
             p = o[part]
-            out.append((grp, pack(R.delta(doc[p]), tag[p], at[p], open_[part])))
+            out.append((grp, pack(R.delta(doc[p]), R.delta(tag[p]), at[p], open_[part])))
         if out:
             yield R.blob_batch("grp", out)
 
@@ -130,7 +130,7 @@ def open_runs(rows: DataFrame, told: DataFrame, hot: np.ndarray, rule: R.Rule, b
         out = []
         for bucket, part in R.dealt(bucket_of(key[o], buckets), buckets):
             p = o[part]
-            out.append((bucket, pack(R.delta(doc[p]), tag[p].astype(np.uint16), at[p].astype(np.uint32), c[p].astype(np.uint8), R.packed_slices(data, ends[p] - size[p], ends[p]))))
+            out.append((bucket, pack(R.delta(doc[p]), R.delta(tag[p]), at[p].astype(np.uint32), c[p].astype(np.uint8), R.packed_slices(data, ends[p] - size[p], ends[p]))))
         return pa.Table.from_batches([R.blob_batch("bucket", out)], _SENT) if out else _SENT.empty_table()
 
     return rows.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(send, "bucket int, blob binary")
@@ -177,12 +177,12 @@ def settled(sent: DataFrame, rule: R.Rule, groups: int) -> DataFrame:
         again = later_strings(R.packed_slices(data, ends[o] - size[o], ends[o]), c[o], rule)
         starts = np.cumsum(c[o]) - c[o]
         out = []
-        for grp, part in R.dealt(R.group_of(doc[o], groups), groups):
+        for grp, part in R.dealt(R.group_of(doc[o], tag[o], groups), groups):
             p = o[part]
             bits = again[expand(starts[part], c[p])]
             wide = np.zeros((len(p), rule.length), bool)
             wide[np.repeat(np.arange(len(p)), c[p]), expand(np.zeros(len(p), np.int64), c[p])] = bits
-            out.append((grp, pack(R.delta(doc[p]), tag[p], at[p], np.packbits(wide, 1))))
+            out.append((grp, pack(R.delta(doc[p]), R.delta(tag[p]), at[p], np.packbits(wide, 1))))
         if out:
             yield R.blob_batch("grp", out)
 

@@ -43,7 +43,7 @@ def strings(rows: DataFrame, hot: np.ndarray, rule: R.Rule, buckets: int) -> Dat
         out = []
         for bucket, part in R.dealt(to, buckets):
             p = o[part]
-            out.append((bucket, pack(R.delta(doc[p]), tag[p].astype(np.uint16), at[p].astype(np.uint32), c[p].astype(np.uint8), size[p].astype(np.uint32), R.packed_slices(data, ends[p] - size[p], ends[p]), level=3)))
+            out.append((bucket, pack(R.delta(doc[p]), R.delta(tag[p]), at[p].astype(np.uint32), c[p].astype(np.uint8), size[p].astype(np.uint32), R.packed_slices(data, ends[p] - size[p], ends[p]), level=3)))
         if out:
             yield R.blob_batch("bucket", out)
 
@@ -87,11 +87,11 @@ def first_windows(sent: DataFrame, rule: R.Rule, groups: int) -> DataFrame:
         bit = first.astype(np.uint32) << (np.arange(len(first)) - np.repeat(begin, c)).astype(np.uint32)
         mask = np.bitwise_or.reduceat(bit, begin)
         keep = np.flatnonzero(mask)
-        to = R.group_of(doc[keep], groups)
+        to = R.group_of(doc[keep], tag[keep], groups)
         out = []
         for grp, part in R.dealt(to, groups):
             p = keep[part]
-            out.append((grp, pack(R.delta(doc[p]), tag[p], at[p], mask[p].astype(np.uint16 if rule.length - rule.k < 16 else np.uint32))))
+            out.append((grp, pack(R.delta(doc[p]), R.delta(tag[p]), at[p], mask[p].astype(np.uint16 if rule.length - rule.k < 16 else np.uint32))))
         if out:
             yield R.blob_batch("grp", out)
 

@@ -59,3 +59,16 @@ def test_against_brute_force(spark):
 def test_hot_cells_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", 0)
     agree(spark, corpus(random.Random(7)))
+
+
+def test_texts_without_ids_stay_apart(spark):
+    texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(2000)]
+    got = suffix.dedup(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")).collect()
+    assert len(got) == 2000 and all(x.n_removed == 0 for x in got)
+
+
+def test_long_text(spark):
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefgh") for _ in range(1_500_000))
+    got = suffix.dedup(spark.createDataFrame([(1, text), (2, text + "tail")], "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.n_bytes, x.n_removed) for x in got} == {(1, 1_500_000, 0), (2, 1_500_004, 1_500_000)}

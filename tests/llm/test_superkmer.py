@@ -2,7 +2,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from tessera.llm import repeats, superkmer
+from tessera.llm.common import sliding_argmin
 
 
 def brute(docs, n=superkmer.LENGTH):
@@ -53,3 +56,44 @@ def test_hot_cells_change_nothing(spark, monkeypatch):
     got = superkmer.digests(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     want = brute(docs)
     assert all(tuple(x)[1:] == want[x.doc_id if x.doc_id is not None else -(2**63)][1:] for x in got)
+
+
+def unique_texts(n, words=30):
+    return [" ".join(f"t{k}w{i}" for i in range(words)) for k in range(n)]
+
+
+def test_texts_without_ids_stay_apart(spark):
+    texts = unique_texts(3000)
+    for at in (None, 7):  # no id, or one for all
+        got = superkmer.dedup(spark.createDataFrame([(at, t) for t in texts], "doc_id long, text string")).collect()
+        assert len(got) == 3000 and {x.kept for x in got} == set(texts) and all(x.n_removed == 0 for x in got)
+    grps = repeats.keyed(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")).groupBy("grp").count().collect()
+    assert len(grps) == 4 and max(g["count"] for g in grps) < 1000
+    doubled = [(None, t) for t in texts[:500] * 2] + [(5, texts[0] + " " + texts[1])]
+    got = superkmer.dedup(spark.createDataFrame(doubled, "doc_id long, text string")).collect()
+    assert len(got) == 1001 and all(x.n_removed == (60 if x.doc_id == 5 else 0) for x in got)
+
+
+def test_names_of_many_texts_without_ids():
+    r = np.random.default_rng(1)
+    tag = r.integers(-(2**63), 2**63, 100_000)
+    doc, at = np.full(100_000, -(2**63)), np.zeros(100_000, np.int64)
+    assert len(np.unique(repeats.name_hash(doc, tag, at))) == len(np.unique(tag))
+    blob = repeats.pack(repeats.delta(np.sort(doc)), repeats.delta(tag), at)
+    assert (repeats.joined([blob, blob])[1] == np.concatenate([tag, tag])).all()
+    load = np.bincount(repeats.group_of(doc, tag, 50), minlength=50)
+    assert load.min() > 1500 and load.max() < 2500
+
+
+def test_sliding_argmin_in_parts():
+    key = np.random.default_rng(2).integers(0, 50, 1000).astype(np.uint64) << np.uint64(50)
+    for w in (1, 2, 17):
+        want = [i + int(np.argmin(key[i : i + w])) for i in range(len(key) - w + 1)]
+        assert sliding_argmin(key, w).tolist() == want == sliding_argmin(key, w, 64).tolist()
+
+
+def test_long_text(spark):
+    r = random.Random(3)
+    text = " ".join(f"w{r.randrange(10**6)}" for _ in range(300_000))
+    got = superkmer.dedup(spark.createDataFrame([(1, text), (2, text + " tail")], "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.n_words, x.n_removed) for x in got} == {(1, 300_000, 0), (2, 300_001, 300_000)}
