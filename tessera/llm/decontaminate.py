@@ -5,14 +5,16 @@ mask selects some of its neighbours, so a seed still hits when an ignored token
 two masks hit every stretch of SPAN tokens with at most ERRORS substitutions. Around each hit the
 benchmark text is laid along the document and matches are counted: it overlaps where some SPAN
 neighbours have no more than ERRORS differences, or where a whole shorter text stands unchanged.
-Benchmark texts under LEAST tokens are no evidence and never match.
+Benchmark texts under `least` tokens (LEAST unless told otherwise) are no evidence and never match; with a smaller
+`least`, texts too short for a mask are looked up as a whole.
 
-Result: a row for each document and benchmark text that overlap: the longest stretch covered by such
-windows [start, end) in tokens of the document, and the matches along the best diagonal. Null
-texts have no tokens. Documents with equal ids give a row each. Empty tables give no rows.
+Result: a row for each document and benchmark text that overlap: the longest stretch without a gap that such
+windows cover on one diagonal, [start, end) in tokens of the document, and the matches in it (of equally long
+stretches the one with most matches, then the first). Null texts have no tokens. Documents with equal ids give a row
+each, and so do benchmark texts with equal ids; repeated benchmark rows count once. Empty tables give no rows.
 
 The benchmark's index is sent to all tasks only up to `most_bytes` of text; a larger benchmark is
-searched in blocks of that size, each against all documents.
+searched in blocks of about that size, each against all documents. A single text above it is a block of its own.
 """
 
 from __future__ import annotations
@@ -67,14 +69,17 @@ def runs(item_len: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Seeds of a block of benchmark texts."""
 
-    def __init__(self, ids: list[int | None], texts: pa.Array):
+    def __init__(self, ids: list[int | None], texts: pa.Array, least: int = LEAST):
         self.h, doc, self.offsets = tokens(texts)
         self.ids, self.size = ids, np.diff(self.offsets)
-        long_enough = self.size >= LEAST
-        found = [(m, *seeds(self.h, doc, mask, m + 1)) for m, mask in enumerate(MASKS)]
-        at = np.concatenate([a for _, a, _ in found])
-        key = np.concatenate([k for _, _, k in found])
-        ok = long_enough[doc[at]] if len(at) else np.zeros(0, bool)
+        short = sorted({n for n in self.size.tolist() if max(1, least) <= n < min(map(len, MASKS))})
+        #: Masks, and of how many tokens the texts are that each one serves (None: of all that it fits).
+        self.masks = [(m, None) for m in MASKS] + [("1" * n, n) for n in short]
+        found = [seeds(self.h, doc, mask, k + 1) for k, (mask, _) in enumerate(self.masks)]
+        at = np.concatenate([a for a, _ in found])
+        key = np.concatenate([k for _, k in found])
+        only = np.concatenate([np.full(len(a), n or 0) for (a, _), (_, n) in zip(found, self.masks)])
+        ok = (self.size[doc[at]] >= least) & ((only == 0) | (only == self.size[doc[at]])) if len(at) else np.zeros(0, bool)
         order = np.argsort(key[ok], kind="stable")
         self.key, self.at = key[ok][order], at[ok][order]
         self.item = doc[self.at]
@@ -88,7 +93,7 @@ class Index:
         held("decontaminate")
         h, doc, offsets = tokens(texts)
         pairs = []
-        for m, mask in enumerate(MASKS):
+        for m, (mask, _) in enumerate(self.masks):
             at, key = seeds(h, doc, mask, m + 1)
             may = self.maybe[(key >> self.shift).astype(np.int64)]
             at, key = at[may], key[may]
@@ -102,7 +107,7 @@ class Index:
             if len(part):
                 out.append(self._verified(h, offsets, part))
         rows = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
-        rows = rows[np.lexsort((rows[:, 3], -rows[:, 2], rows[:, 1], rows[:, 0]))]
+        rows = rows[np.lexsort((rows[:, 3], -rows[:, 2], rows[:, 3] - rows[:, 4], rows[:, 1], rows[:, 0]))]
         first = np.ones(len(rows), bool)
         first[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
         return rows[first]
@@ -124,30 +129,34 @@ class Index:
         good = k[total[k + w[line[k]]] - total[k] >= least[line[k]]]
         if not len(good):
             return np.zeros((0, 5), np.int64)
-        hit, first = np.unique(line[good], return_index=True)
+        # A stretch ends where the next good window leaves a gap.
+        new = np.ones(len(good), bool)
+        new[1:] = (line[good[1:]] != line[good[:-1]]) | (j[good[1:]] > j[good[:-1]] + w[line[good[:-1]]])
+        first = np.flatnonzero(new)
         last = np.append(first[1:], len(good)) - 1
+        hit = line[good[first]]
         start = place[good[first]]
         end = place[good[last]] + w[hit]
         matches = total[good[last] + w[hit]] - total[good[first]]
         return np.stack([doc[hit], item[hit], matches, np.maximum(0, start), np.minimum(end, np.diff(offsets)[doc[hit]])], 1)
 
 
-def indexes(benchmark: DataFrame, most_bytes: int = BLOCK) -> Iterator[Broadcast]:
+def indexes(benchmark: DataFrame, most_bytes: int = BLOCK, least: int = LEAST) -> Iterator[Broadcast]:
     """Indexes of blocks of benchmark texts (item_id, text), each of about `most_bytes` at most, sent to all tasks."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-2 * total // most_bytes) if total > most_bytes else 1
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         got = part.orderBy("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([r.item_id for r in got], pa.array([r.text for r in got], pa.string())))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([r.item_id for r in got], pa.array([r.text for r in got], pa.string()), least))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, most_bytes: int = BLOCK) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, most_bytes: int = BLOCK, least: int = LEAST) -> DataFrame:
     """Rows of SCHEMA for all documents (doc_id, text) against all benchmark texts (item_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for index in indexes(benchmark, most_bytes):
+    for index in indexes(benchmark, most_bytes, least):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -164,9 +173,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, most_bytes: int = BLOCK) ->
     return out
 
 
-def without(docs: DataFrame, benchmark: DataFrame, most_bytes: int = BLOCK) -> DataFrame:
+def without(docs: DataFrame, benchmark: DataFrame, most_bytes: int = BLOCK, least: int = LEAST) -> DataFrame:
     """The documents, all columns, that overlap no benchmark text."""
-    for index in indexes(benchmark, most_bytes):
+    for index in indexes(benchmark, most_bytes, least):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

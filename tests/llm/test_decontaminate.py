@@ -15,13 +15,27 @@ def toks(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
 
-def brute(doc, item):
+def brute(doc, item, least=d.LEAST):
+    """(matches, start, end) of the longest stretch, or None."""
     a, b = toks(doc), toks(item)
-    if len(b) < d.LEAST:
-        return False
+    if len(b) < max(1, least):
+        return None
     w = min(d.SPAN, len(b))
     need = w - d.ERRORS * (w == d.SPAN)
-    return any(sum(x == y for x, y in zip(a[i : i + w], b[j : j + w])) >= need for i in range(len(a) - w + 1) for j in range(len(b) - w + 1))
+    found = []
+    for line in range(w - len(b), len(a) - w + 1):
+        good = [j for j in range(len(b) - w + 1) if 0 <= line + j <= len(a) - w and sum(x == y for x, y in zip(a[line + j : line + j + w], b[j : j + w])) >= need]
+        covered = sorted({k for j in good for k in range(j, j + w)})
+        while covered:
+            n = 1
+            while n < len(covered) and covered[n] == covered[0] + n:
+                n += 1
+            found.append((-n, -sum(a[line + k] == b[k] for k in covered[:n]), line + covered[0]))
+            covered = covered[n:]
+    if not found:
+        return None
+    n, matches, start = min(found)
+    return -matches, start, start - n
 
 
 def test_against_brute_force(spark):
@@ -37,11 +51,22 @@ def test_against_brute_force(spark):
         docs.append((100 + k, f"{text(5)}, {' '.join(w).upper()}! {text(5)}"))
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS item_id", "'y' AS start")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((x.doc_id, x.item_id) for x in d.overlaps(df, bench).collect())
-    want = sorted((a, i) for a, t in docs for i, u in items if brute(t, u))
-    assert len(want) > 20 and got == want
+    pairs = sorted((a, i, *brute(t, u), len(toks(u))) for a, t in docs for i, u in items if brute(t, u))
+    assert sorted(map(tuple, d.overlaps(df, bench).collect())) == pairs and len(pairs) > 20
+    short = sorted((a, i, *brute(t, u, 1), len(toks(u))) for a, t in docs for i, u in items if brute(t, u, 1))
+    assert sorted(map(tuple, d.overlaps(df, bench.unionAll(bench), least=1).collect())) == short and len(short) > len(pairs)
+    want = [x[:2] for x in pairs]
     assert sorted((x.doc_id, x.item_id) for x in d.overlaps(df, bench, most_bytes=500).collect()) == want
     clean = d.without(df, bench, most_bytes=500)
     assert clean.columns == df.columns
     assert sorted((x.doc_id or 0, x.text) for x in clean.collect() if x.text) == sorted((a, t) for a, t in docs if t and a not in {w[0] for w in want})
     assert d.overlaps(df.limit(0), bench).count() == 0 == d.overlaps(df, bench.limit(0)).count()
+
+
+def test_stretches_end_at_gaps(spark):
+    item = [f"b{k}" for k in range(60)]
+    cut = item[:15] + [f"x{k}" for k in range(30)] + item[45:]
+    later = ["y"] * 4 + item[:14] + [f"x{k}" for k in range(26)] + item[40:]
+    docs = spark.createDataFrame([(1, " ".join(cut)), (2, " ".join(later)), (3, " ".join(cut * 3000))], "doc_id long, text string")
+    got = sorted(map(tuple, d.overlaps(docs, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()))
+    assert got == [(1, 9, 15, 0, 17, 60), (2, 9, 20, 42, 64, 60), (3, 9, 15, 0, 17, 60)]
