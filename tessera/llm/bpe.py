@@ -3,7 +3,7 @@
 A token is taken greedily (the longest match) as long as its pair with the token before it is
 compatible, that is, as long as merging by rank would leave a boundary there; else the next shorter
 prefix token is tried, and a position without any is marked dead and left. Every position is left
-once at most, so the time is linear. Decoding copies each token's bytes by an offset table.
+once at most, so the time is linear (a match looks no further than the longest token). Decoding copies each token's bytes by an offset table.
 
 Nulls encode as the empty text: no ids. Special tokens of the vocabulary found in a text become
 their ids, as the tokenizers library does by default. Rows are independent: repeated rows give
@@ -63,6 +63,7 @@ class Codec:
         for text, i in by_text.items():
             self.automaton.add_word(text, i)
         self.automaton.make_automaton()
+        self.longest = max(map(len, by_text), default=1)
         self.shorter: dict[int, int | None] = {}
         for text, i in by_text.items():
             self.shorter[i] = next((by_text[text[:k]] for k in range(len(text) - 1, 0, -1) if text[:k] in by_text), None)
@@ -110,7 +111,8 @@ class Codec:
         """The ids of one piece."""
         text, n = piece.decode("latin-1"), len(piece)
         dead, out, at = bytearray(n + 1), [], 0
-        longest = lambda p: next(self.automaton.iter_long(text, p))[1]
+        # The automaton copies the text that it is given; beyond the longest token nothing can match.
+        longest = lambda p: next(self.automaton.iter_long(text[p : p + self.longest]))[1]
         token = longest(0) if n else None
         while token is not None:
             last = out[-1] if out else None
@@ -132,7 +134,7 @@ class Codec:
 
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and offsets of each text."""
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE or len(self.flat) > 16 * CACHE:
             self.forget()
         found, counts = [], []
         get, pieces = self.known.__getitem__, self.pieces.findall

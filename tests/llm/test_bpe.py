@@ -1,3 +1,7 @@
+import hashlib
+import random
+import time
+
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,6 +33,27 @@ def test_any_text(texts):
     same(texts)
 
 
+def test_long_pieces_take_linear_time():
+    CODEC.merge_piece(b"a" * 100)
+    times = []
+    for n in (20_000, 160_000):
+        began = time.process_time()
+        CODEC.merge_piece(b"a" * n)
+        times.append(time.process_time() - began)
+    assert times[1] < 24 * times[0] + 0.05 and times[1] < 1
+    r = random.Random(4)
+    same(["a" * 50_000, "".join(r.choice("abcde") for _ in range(50_000)), " " * 30_000 + "x", "=" * 9_999, "é" * 9_999])
+
+
+def test_digests(spark):
+    texts = [None, "", "a b", "naïve é <|endoftext|> x", "  two\n\nlines", "word " * 5000]
+    got = {r.doc_id: tuple(r)[1:] for r in bpe.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for k, t in enumerate(texts):
+        ids = LIBRARY.encode(t or "", add_special_tokens=False).ids
+        assert got[k] == (len(ids), sha(",".join(map(str, ids))), sha(LIBRARY.decode(ids, skip_special_tokens=False)))
+
+
 def test_operator(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, None, None), (2, "", "y")], "doc_id long, text string, ids string")
     rows = bpe.decode(bpe.encode(df, PATH), PATH).collect()
