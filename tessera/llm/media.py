@@ -11,6 +11,9 @@ payloads have equal digests and may be stored more than once; any copy serves. H
 nothing gives an empty sequence; unclosed and stray tags are taken as browsers would roughly take them; script and
 style are left out. A reference whose payload isn't in the store resolves to nulls. Repeated rows give
 repeated results, an empty table none; other columns are ignored.
+
+References to one payload may be a large share of all: the digests with more than `hot` references, of which there can be
+no more than references / hot, are joined by a broadcast of their features, the others by a shuffle.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import written
 from .common import workspace
 
 WIDTH, SCHEME = 64, "sha256:"
@@ -183,11 +187,28 @@ def features(spark: SparkSession, at: str) -> DataFrame:
     return read.mapInArrow(run, "digest string, " + ", ".join(f"{n} {k}" for n, k in _FEATURES.items())).dropDuplicates(["digest"])
 
 
+#: Digests that are joined by broadcast at most; so many of the most frequent ones are looked at.
+MOST_HOT = 1000
+
+
 def resolved(sequences: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """A row for each media reference: id, position, caption, ref, and what the store has of it."""
     refs = sequences.select(id_col, F.explode(F.filter("sequence", lambda x: x["kind"] == "media")).alias("m")).select(id_col, "m.position", "m.caption", "m.ref")
-    refs = refs.withColumn("digest", F.when(F.col("ref").startswith(SCHEME), F.substring("ref", len(SCHEME) + 1, 64)))
-    return refs.join(found, "digest", "left").drop("digest")
+    refs = written(refs.withColumn("digest", F.when(F.col("ref").startswith(SCHEME), F.substring("ref", len(SCHEME) + 1, 64))), "refs")
+    found = written(found, "features")
+    # The digests that more than one in MOST_HOT references has: fewer than MOST_HOT.
+    counts = refs.where("digest IS NOT NULL").groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    total = refs.count()
+    hot = [r.digest for r in counts.where(F.col("n") > max(100, total / MOST_HOT)).select("digest").collect()]
+    apart = F.col("digest").isin(hot) if hot else F.lit(False)
+    parts = [refs.where("digest IS NULL").join(found.where("false"), "digest", "left")]  # refers to no payload
+    parts.append(refs.where(F.col("digest").isNotNull() & ~apart).join(found.where(~apart), "digest", "left"))
+    if hot:
+        parts.append(refs.where(apart).join(F.broadcast(found.where(apart)), "digest", "left"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.drop("digest")
 
 
 def interleaved(sequences: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
