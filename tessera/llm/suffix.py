@@ -1,18 +1,18 @@
 """Suffix-array dedup by distributed prefix doubling.
 
 Every position of a text whose LENGTH-byte string might also start earlier is ranked by longer and longer
-prefixes, K, LENGTH / 2 and LENGTH bytes, until it is unique or past the threshold:
+prefixes, until it is unique or past the threshold:
 
 1. Positions are ranked by the K bytes at their window's minimiser (see repeats), a run of windows at a time.
    Runs equal in whole to an earlier one are settled: all their strings start earlier. Runs alone with their
    K bytes are settled too: none does. Spark deals (rank, hash of the run) pairs to buckets, which sort them.
-2. The bytes of the runs that are left are dealt by the same ranks. There all positions are ranked by
-   LENGTH / 2 bytes, positions of which either half is unique are dropped, and the pairs (rank at p, rank at
-   p + LENGTH / 2) of the others are ranked again: equal pairs are equal strings of LENGTH bytes, and all but
-   the first start earlier.
+2. The bytes of the runs that are left are dealt by the same ranks, so positions with equal strings meet in one bucket.
+   There positions are ranked by LENGTH / 4 bytes; pairs (rank at p, rank at p + LENGTH / 4) are sorted and ranked
+   again, which ranks LENGTH / 2 bytes, and pairs (rank at p, rank at p + LENGTH / 2) rank LENGTH. Positions leave as
+   soon as they are unique. All but the first position of a last rank start earlier.
 
-Ranks stand for 128 bits of hash at LENGTH / 2 bytes. A byte is removed if a string that covers it
-also starts earlier: in a smaller doc_id, or in the same document before. Strings are judged on the input.
+Ranks stand for 128 bits of hash at LENGTH / 4 bytes, and are exact from there on. A byte is removed if a string that
+covers it also starts earlier: in a smaller doc_id, or in the same document before. Strings are judged on the input.
 
 Result: doc_id, n_bytes, n_removed, spans (maximal removed runs [start, end) in order), kept (binary).
 Texts are UTF-8 bytes, null is empty; matches never cross documents. Rows with equal doc_id and text are one
@@ -136,33 +136,68 @@ def open_runs(rows: DataFrame, told: DataFrame, hot: np.ndarray, rule: R.Rule, b
     return rows.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(send, "bucket int, blob binary")
 
 
-def rank(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A dense rank of each pair, and how many pairs have each rank."""
-    o = np.lexsort((h2, h1))
+def rank(*keys: np.ndarray) -> np.ndarray:
+    """A dense rank of each tuple of keys, by sorting them."""
+    o = np.lexsort(keys[::-1])
     new = np.ones(len(o), bool)
-    new[1:] = (h1[o][1:] != h1[o][:-1]) | (h2[o][1:] != h2[o][:-1])
+    new[1:] = np.logical_or.reduce([k[o][1:] != k[o][:-1] for k in keys])
     out = np.empty(len(o), np.int64)
     out[o] = np.cumsum(new) - 1
-    return out, np.bincount(out)
+    return out
+
+
+def lengths(length: int) -> list[int]:
+    """Prefixes that are ranked, each at most twice as long as the one before; two overlap where they are less."""
+    out = [length]
+    while len(out) < 3:
+        out.append(-(-out[-1] // 2))
+    return out[::-1]
+
+
+def shared(places: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The places whose keys others may have too: a key alone in its cell of a table is unique."""
+    if not len(places):
+        return places
+    bits = max(10, int(len(places)).bit_length() + 2)
+    cell = (key[places] >> U(64 - bits)).astype(np.int64)
+    return places[np.bincount(cell, minlength=1 << bits)[cell] > 1]
 
 
 def later_strings(data: np.ndarray, c: np.ndarray, rule: R.Rule) -> np.ndarray:
-    """Which windows of the runs (c windows each, bytes on end, in order of start) equal an earlier one."""
+    """Which windows of the runs (c windows each, bytes on end, in order of start) equal an earlier one.
+
+    Prefix doubling: positions are ranked by their first lengths(...)[0] bytes, then by pairs of ranks at growing offsets. A
+    position that is unique with its rank, or whose pair has a unique half, is finished and leaves."""
     size = c + rule.length - 1
     begin = np.cumsum(size) - size
-    half = rule.length // 2
-    h1, h2 = windows(BYTE_1[data], half), windows(BYTE_2[data], half, BASE_2)
-    p = expand(begin, c)
-    q = p + rule.length - half
-    both = np.unique(np.concatenate([p, q]))
-    r, count = rank(h1[both], h2[both])
-    at = np.zeros(len(data), np.int64)
-    at[both] = r
-    a, b = at[p], at[q]
-    left = np.flatnonzero((count[a] > 1) & (count[b] > 1))
-    out = np.zeros(len(p), bool)
-    out[left] = ~R.first_of_equal(a[left], b[left])
-    return out
+    every = expand(begin, c)
+    steps = lengths(rule.length)
+    h1 = windows(BYTE_1[data], steps[0])
+    parts = sorted({0, rule.length - steps[0], *(k * steps[0] for k in range(rule.length // steps[0]))})
+    live = every
+    for at in sorted(parts, key=lambda x: (x != 0, -x)):  # those that are unique at one part needn't be sorted
+        live = shared(live + at, h1) - at
+    h2 = windows(BYTE_2[data], steps[0], BASE_2)
+    ranks = np.zeros(len(data), np.int64)
+    # Where each step's ranks are asked for: at a start and, for every longer step, that much less its half later.
+    offsets = [[0]]
+    for long, short in zip(steps[:0:-1], steps[-2::-1]):
+        offsets.append(sorted({x + d for x in offsets[-1] for d in (0, long - short)}))
+    wanted = [np.unique(np.concatenate([live + d for d in x])) for x in offsets[::-1]]
+    ranks[wanted[0]] = rank(h1[wanted[0]], h2[wanted[0]])
+    for k in range(1, len(steps)):
+        step = steps[k] - steps[k - 1]
+        at = wanted[k] if k + 1 < len(steps) else live
+        pair = rank(ranks[at], ranks[at + step])
+        ranks[at] = pair
+        if k + 1 < len(steps):  # unique among the starts, or among what follows them: finished
+            for d in offsets[len(steps) - 1 - k]:
+                here = ranks[live + d]
+                live = live[np.bincount(here)[here] > 1] if len(live) else live
+            wanted[k + 1] = live
+    out = np.zeros(len(data), bool)
+    out[live] = ~R.first_of_equal(ranks[live])
+    return out[every]
 
 
 def settled(sent: DataFrame, rule: R.Rule, groups: int) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from tessera.llm import repeats, suffix
 
 LEAST = -(2**63)
@@ -72,3 +74,23 @@ def test_long_text(spark):
     text = "".join(r.choice("abcdefgh") for _ in range(1_500_000))
     got = suffix.dedup(spark.createDataFrame([(1, text), (2, text + "tail")], "doc_id long, text string")).collect()
     assert {(x.doc_id, x.n_bytes, x.n_removed) for x in got} == {(1, 1_500_000, 0), (2, 1_500_004, 1_500_000)}
+
+
+def test_doubling_against_brute_force():
+    r = np.random.default_rng(3)
+    for length in (100, 30, 7):
+        rule = repeats.Rule("byte", length, min(24, length))
+        for letters in (1, 2, 4):
+            c = r.integers(1, 60, 50)
+            data = r.integers(0, letters, int((c + length - 1).sum())).astype(np.uint8)
+            part = data[:200].copy()
+            for at in r.integers(0, len(data) - 200, 12):
+                data[at : at + 200] = part
+            raw, seen, want, at = data.tobytes(), set(), [], 0
+            for n in c:
+                for k in range(n):
+                    want.append(raw[at + k : at + k + length] in seen)
+                    seen.add(raw[at + k : at + k + length])
+                at += n + length - 1
+            assert suffix.later_strings(data, c, rule).tolist() == want
+    assert suffix.lengths(100) == [25, 50, 100] and suffix.lengths(7) == [2, 4, 7]
