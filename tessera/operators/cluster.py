@@ -210,8 +210,8 @@ def assigned(points: DataFrame, id_: str, vec: str, centre: DataFrame, label: st
 
 
 def hash_sample(rows: DataFrame, id_: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows without replacement, the same ones whatever the partitions: the least hashes of the ids."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), id_), id_).limit(n)
+    """n rows without replacement, the same ones whatever the partitions: the least hashes (MD5 of seed and id) of the ids."""
+    return rows.orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(id_).cast("string"))), id_).limit(n)
 
 
 def farthest_points(points: DataFrame, by: str, id_: str, axes: list[str], n: int) -> DataFrame:
@@ -233,12 +233,12 @@ def farthest_points(points: DataFrame, by: str, id_: str, axes: list[str], n: in
 
 def spaced_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     """n evenly spaced rows in an order, first and last included."""
-    from pyspark.sql import Window
+    from .ordered import numbered
 
     total = rows.count()
     want = sorted({round(k * (total - 1) / max(1, n - 1)) for k in range(min(n, total))})
     at = rows.sparkSession.createDataFrame([(k,) for k in want], "_k long")
-    return rows.withColumn("_k", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")).join(at, "_k", "left_semi").drop("_k")
+    return numbered(rows, order, "_k").join(F.broadcast(at), "_k", "left_semi").drop("_k")
 
 
 def quantile_map(rows: DataFrame, value: str, grid: int = 1000) -> DataFrame:

@@ -7,33 +7,44 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered, shares
+
 LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
 def weighted_quantiles(rows: DataFrame, by: list[str], value: str, weight: str, levels: Sequence[float] = LEVELS) -> DataFrame:
-    """by, q05 ... : position of a value is (cumulated weight - half its own) / total; linear between, clamped."""
+    """by, q05 ... : position of a value is (cumulated weight - half its own) / total; linear between, clamped.
+
+    Equal values come in the order of their weights, so the outcome doesn't depend on the rows' order. Running sums go over
+    ranges of (by, value), and each level takes the neighbours on either side by aggregates: no task holds a group."""
     run = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w"))
-    run = run.withColumn("_c", F.sum("_w").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumn("_p", (F.col("_c") - F.col("_w") / 2) / F.sum("_w").over(Window.partitionBy(*by)))
-    nxt = Window.partitionBy(*by).orderBy("_p", "_v")
-    run = run.withColumns({"_p2": F.lead("_p").over(nxt), "_v2": F.lead("_v").over(nxt)})
-    aggs = []
-    for q in levels:
-        inside = (F.col("_p") <= q) & (F.col("_p2") > q)
-        between = F.max(F.when(inside, F.col("_v") + (F.col("_v2") - F.col("_v")) * (F.lit(q) - F.col("_p")) / (F.col("_p2") - F.col("_p"))))
-        edge = F.when(F.min("_p") > q, F.min("_v")).otherwise(F.max("_v"))
-        aggs.append(F.coalesce(between, edge).alias(f"q{round(q * 100):02d}"))
-    return run.groupBy(*by).agg(*aggs)
+    run = numbered(run, [*by, "_v", "_w"], "_k", {"_c": "_w"})
+    total = run.groupBy(*by).agg(F.sum("_w").alias("_t"), F.min(F.struct("_k", (F.col("_c") - F.col("_w")).alias("c"))).alias("_b"))
+    total = total.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_t", F.col("_b.c").alias("_b"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    run = run.join(total, same) if by else run.crossJoin(F.broadcast(total))  # one row
+    at = F.struct(((F.col("_c") - F.col("_b") - F.col("_w") / 2) / F.col("_t")).alias("p"), F.col("_v").alias("v"))
+    found = run.select(*by, at.alias("_x")).groupBy(*by)
+    sides = [x for k, q in enumerate(levels) for x in (F.max(F.when(F.col("_x.p") <= q, F.col("_x"))).alias(f"_l{k}"), F.min(F.when(F.col("_x.p") > q, F.col("_x"))).alias(f"_h{k}"))]
+    out = []
+    for k, q in enumerate(levels):
+        lo, hi = F.col(f"_l{k}"), F.col(f"_h{k}")
+        between = lo["v"] + (hi["v"] - lo["v"]) * (F.lit(q) - lo["p"]) / (hi["p"] - lo["p"])
+        out.append(F.coalesce(between, lo["v"], hi["v"]).alias(f"q{round(q * 100):02d}"))
+    return found.agg(*sides).select(*by, *out)
 
 
 def scene_weights(rows: DataFrame, by: list[str], scene: str, value: str) -> DataFrame:
     """Rows with a finite value and `weight`: each scene of a group weighs 1 in all."""
     d = F.col(value).try_cast("double")
     kept = rows.where(d.isNotNull() & ~F.isnan(d) & (F.abs(d) < float("inf")))
-    return kept.withColumn("weight", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy(*by, scene)).cast("double"))
+    n = kept.groupBy(*by, scene).agg(F.count(F.lit(1)).alias("_n"))
+    keys = [*by, scene]
+    n = n.select(*[F.col(c).alias(f"_of_{c}") for c in keys], (F.lit(1.0) / F.col("_n").cast("double")).alias("weight"))
+    return kept.join(n, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]).drop(*[f"_of_{c}" for c in keys])
 
 
 def scene_balanced(rows: DataFrame, by: list[str], scene: str, value: str, levels: Sequence[float] = LEVELS) -> DataFrame:
@@ -50,8 +61,11 @@ def support(rows: DataFrame, by: list[str], scene: str, scan: str, valid: str, m
 
 def small_scores(rows: DataFrame, area: str, diagonal: str) -> DataFrame:
     """Rows with small_score = 1 - half the sum of the two shares of rows that are no larger."""
-    share = lambda c: F.cume_dist().over(Window.orderBy(c))
-    return rows.withColumn("small_score", F.lit(1.0) - F.lit(0.5) * (share(area) + share(diagonal)))
+    out = rows
+    for k, c in enumerate((area, diagonal)):
+        at = shares(rows, c, f"_share{k}").withColumnRenamed(c, f"_of{k}")
+        out = out.join(at, F.col(c).eqNullSafe(F.col(f"_of{k}")))
+    return out.withColumn("small_score", F.lit(1.0) - F.lit(0.5) * (F.col("_share0") + F.col("_share1"))).select(*rows.columns, "small_score")
 
 
 def shrunk(child: DataFrame, parent: DataFrame, on: list[str], values: list[str], weight: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def run_lengths(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """by, run, value, length: maximal runs of equal neighbours, numbered from 1."""
@@ -60,10 +62,9 @@ def composite_vectors(composited: DataFrame, by: list[str], vec: str) -> DataFra
 def tile_ranges(rows: DataFrame, tile: str, order: list[str]) -> DataFrame:
     """tile, start, end of each tile's rows in the order of (tile, order).
 
-    Counts by tile are summed up, so only the tiles pass through one window."""
-    n = rows.groupBy(tile).agg(F.count(F.lit(1)).alias("n"))
-    end = F.sum("n").over(Window.orderBy(tile).rowsBetween(Window.unboundedPreceding, 0))
-    return n.select(tile, (end - F.col("n")).alias("start"), end.alias("end"))
+    Counts by tile are summed up over ranges of tiles."""
+    n = numbered(rows.groupBy(tile).agg(F.count(F.lit(1)).alias("n")), [tile], "_k", {"end": "n"})
+    return n.select(tile, (F.col("end") - F.col("n")).alias("start"), "end")
 
 
 def expand_tiles(boxes: DataFrame, tile: int, wide: int) -> DataFrame:
@@ -75,8 +76,9 @@ def expand_tiles(boxes: DataFrame, tile: int, wide: int) -> DataFrame:
 
 def chain_faults(log: DataFrame) -> DataFrame:
     """Rows of an event log (sequence, previous_sha256, sha256, at) that break it: gap, link or time."""
-    w = Window.partitionBy(F.lit(1)).orderBy("sequence")
-    r = log.withColumns({"_s": F.lag("sequence").over(w), "_h": F.lag("sha256").over(w), "_t": F.lag("at").over(w)})
+    at = numbered(log, ["sequence"])
+    before = at.select((F.col("_n") + 1).alias("_n"), F.col("sequence").alias("_s"), F.col("sha256").alias("_h"), F.col("at").alias("_t"))
+    r = at.join(before, "_n", "left")
     fault = F.when((F.col("sequence") != F.coalesce(F.col("_s") + 1, F.lit(0))), "gap").when(F.col("_h").isNotNull() & (F.col("previous_sha256") != F.col("_h")), "link").when(F.col("at") < F.col("_t"), "time")
     return r.select("sequence", fault.alias("fault")).where("fault IS NOT NULL")
 
@@ -91,4 +93,4 @@ def lease_seconds(log: DataFrame, lease: str = "lease", event: str = "event", at
 
 def held_out(rows: DataFrame, order: list[str], every: int = 8) -> DataFrame:
     """Rows with `test`: each `every`-th in order, from the first."""
-    return rows.withColumn("test", F.pmod(F.row_number().over(Window.orderBy(*order)) - 1, F.lit(every)) == 0)
+    return numbered(rows, order).withColumn("test", F.pmod("_n", F.lit(every)) == 0).drop("_n")
