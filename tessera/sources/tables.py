@@ -90,8 +90,25 @@ def scene_ids(spark: SparkSession, path: str) -> DataFrame:
 def axis_alignment(spark: SparkSession, path: str) -> DataFrame:
     """matrix (16 doubles by rows) from the line `axisAlignment = ...`; another count raises."""
     line = spark.read.text(path).where(F.col("value").rlike(r"^\s*axisAlignment\s*="))
-    m = F.transform(F.split(F.trim(F.regexp_extract("value", r"=\s*(.*)$", 1)), r"\s+"), lambda x: x.cast("double"))
-    return line.select(F.when(F.size(m) == 16, m).otherwise(F.raise_error(F.lit("an alignment of other than 16 numbers")).cast("array<double>")).alias("matrix"))
+    m = F.transform(F.split(F.trim(F.regexp_extract("value", r"=\s*(.*)$", 1)), r"\s+"), lambda x: x.try_cast("double"))
+    return line.select(F.when((F.size(m) == 16) & F.forall(m, lambda x: x.isNotNull()), m).otherwise(F.raise_error(F.lit("an alignment of other than 16 numbers")).cast("array<double>")).alias("matrix"))
+
+
+def save_bank(rows: DataFrame, path: str) -> None:
+    """Writes a bank once: where there is one already, this raises."""
+    rows.write.mode("errorifexists").parquet(path)
+
+
+def load_bank(spark: SparkSession, path: str, required: list[str], key: str) -> DataFrame:
+    """A bank's rows; lacking columns, and rows without a key or with one that occurs twice, raise."""
+    rows = spark.read.parquet(path)
+    lacking = set(required) - set(rows.columns)
+    if lacking:
+        raise ValueError(f"a bank without {sorted(lacking)}")
+    n = rows.groupBy(F.col(key).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    at = rows.join(n, F.col(key) == F.col("_of"), "left")
+    good = F.when(F.coalesce("_n", F.lit(0)) == 1, F.col(key)).otherwise(F.raise_error(F.lit("a bank's key is lacking or repeated")).cast(rows.schema[key].dataType))
+    return at.withColumn(key, good).select(*required)
 
 
 class EvidenceStore:

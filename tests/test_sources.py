@@ -71,7 +71,7 @@ def test_npz_and_colmap(spark, tmp_path):
     (tmp_path / "cameras.bin").write_bytes(struct.pack("<QiiQQ4d", 1, 1, 1, 640, 480, 500, 501, 320, 240))
     assert load("cameras", "cameras.txt") == load("cameras", "cameras.bin")
     (tmp_path / "images.txt").write_text("# i\n7 1 0 0 0 1 2 3 1 a.jpg\n1 2 3 4 5 6\n8 1 0 0 0 0 0 0 1 b.jpg\n\n")
-    two = struct.pack("<Q", 2) + struct.pack("<i7di", 7, 1, 0, 0, 0, 1, 2, 3, 1) + b"a.jpg\0" + struct.pack("<Q", 2) + bytes(48)
+    two = struct.pack("<Q", 2) + struct.pack("<i7di", 7, 1, 0, 0, 0, 1, 2, 3, 1) + b"a.jpg\0" + struct.pack("<Qddqddq", 2, 1, 2, 3, 4, 5, 6)
     (tmp_path / "images.bin").write_bytes(two + struct.pack("<i7di", 8, 1, 0, 0, 0, 0, 0, 0, 1) + b"b.jpg\0" + struct.pack("<Q", 0))
     assert load("images", "images.txt") == load("images", "images.bin") and len(load("images", "images.bin")) == 2
     (tmp_path / "points3D.txt").write_text("5 1 2 3 10 20 30 0.5 1 2 3 4\n")
