@@ -13,9 +13,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, one machine), a local one for this application."""
+    """The folder in spark.checkpoint.dir; where it is unset, a local one for this application if it runs on one machine, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that they share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")

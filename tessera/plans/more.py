@@ -10,20 +10,12 @@ from ..functions import vector as V
 from ..operators import evidence, geometry, matching, overlap, ownership, pixels, quantile, sequence, spatial
 from .queries import QUERIES, query, r6, t  # noqa: F401
 
-_SETS = "m AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS e FROM lineitem WHERE l_quantity > 25), n AS (SELECT a, count(*) AS n FROM m GROUP BY a), i AS (SELECT x.a AS a, y.a AS b, count(*) AS k FROM m x JOIN m y USING (e) WHERE x.a < y.a GROUP BY ALL)"
+_SETS = "m AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS e FROM lineitem), n AS (SELECT a, count(*) AS n FROM m GROUP BY a), i AS (SELECT x.a AS a, y.a AS b, count(*) AS k FROM m x JOIN m y USING (e) WHERE x.a < y.a GROUP BY ALL)"
 
 
 @query(f"""WITH {_SETS} SELECT i.a AS l_suppkey, i.b AS l_suppkey_2, k AS inter FROM i JOIN n p ON p.a = i.a JOIN n q ON q.a = i.b
 WHERE k >= 3 AND k / (p.n + q.n - k)::DOUBLE >= 0.05 AND k / p.n::DOUBLE >= 0.1 AND k / q.n::DOUBLE >= 0.1""")
 def identity_pairs(spark, sf_dir):
-    li = t(spark, sf_dir, "lineitem").where("l_quantity > 25")
-    return overlap.identity_pairs(li, "l_suppkey", "l_partkey", 3, 0.05, 0.1).select("l_suppkey", "l_suppkey_2", "inter")
-
-
-@query(f"""WITH {_SETS.replace(" WHERE l_quantity > 25", "")} SELECT i.a AS l_suppkey, i.b AS l_suppkey_2, k AS inter FROM i JOIN n p ON p.a = i.a JOIN n q ON q.a = i.b
-WHERE k >= 3 AND k / (p.n + q.n - k)::DOUBLE >= 0.05 AND k / p.n::DOUBLE >= 0.1 AND k / q.n::DOUBLE >= 0.1""")
-def identity_pairs_all(spark, sf_dir):
-    """Over every row of lineitem: `identity_pairs` and its SQL take those of more than 25 pieces only."""
     return overlap.identity_pairs(t(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", 3, 0.05, 0.1).select("l_suppkey", "l_suppkey_2", "inter")
 
 
@@ -90,21 +82,11 @@ def worst_case_score(spark, sf_dir):
     return evidence.worst_case_score(o, "c_custkey", "o_orderstatus", "o_totalprice").withColumn("score", F.round("score", 4))
 
 
-@query("""
-WITH d AS (SELECT c_nationkey, (round(c_acctbal * 100)::BIGINT) AS d FROM customer WHERE c_acctbal > 9000),
-l AS (SELECT c_nationkey, d, CASE WHEN count(*) OVER w > 1 THEN (sum(d) OVER w - d)::DOUBLE / (count(*) OVER w - 1) ELSE d END AS l FROM d WINDOW w AS (PARTITION BY c_nationkey))
-SELECT c_nationkey, least(min(d), min(l)) >= -1e-12 AND greatest(max(d), max(l)) > 1e-12 AS stable FROM l GROUP BY c_nationkey""")
-def stable_improvement(spark, sf_dir):
-    c = t(spark, sf_dir, "customer").where("c_acctbal > 9000").withColumn("d", F.round(F.col("c_acctbal") * 100).cast("double"))
-    return evidence.stable_improvement(c, "c_nationkey", "d")
-
-
 @query("""
 WITH d AS (SELECT c_nationkey || '/' || c_mktsegment AS g, (round(c_acctbal * 100)::BIGINT) AS d FROM customer),
 l AS (SELECT g, d, CASE WHEN count(*) OVER w > 1 THEN (sum(d) OVER w - d)::DOUBLE / (count(*) OVER w - 1) ELSE d END AS l FROM d WINDOW w AS (PARTITION BY g))
 SELECT g, least(min(d), min(l)) >= -1e-12 AND greatest(max(d), max(l)) > 1e-12 AS stable FROM l GROUP BY g""")
-def stable_improvement_all(spark, sf_dir):
-    """Over all customers, whose balances have either sign: `stable_improvement` and its SQL take those above 9,000 only."""
+def stable_improvement(spark, sf_dir):
     c = t(spark, sf_dir, "customer").select(F.concat_ws("/", "c_nationkey", "c_mktsegment").alias("g"), F.round(F.col("c_acctbal") * 100).cast("double").alias("d"))
     return evidence.stable_improvement(c, "g", "d")
 

@@ -570,19 +570,6 @@ def oriented_extents(spark, sf_dir):
 # Graphs
 
 
-@query("""
-WITH RECURSIVE p AS (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) BETWEEN 2 AND 18),
-e AS (SELECT DISTINCT a.l_orderkey AS a, b.l_orderkey AS b FROM lineitem a JOIN lineitem b USING (l_partkey) WHERE l_partkey IN (SELECT l_partkey FROM p) AND a.l_orderkey <> b.l_orderkey),
-r(node, component) AS (SELECT a, a FROM e UNION SELECT e.b, r.component FROM r JOIN e ON e.a = r.node WHERE r.component < e.b)
-SELECT node, min(component) AS component FROM r GROUP BY node""")
-def components(spark, sf_dir):
-    li = t(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey").distinct()
-    rare = li.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("src")).where("n BETWEEN 2 AND 18")
-    # A star per part joins the same orders as all pairs would.
-    edges = li.join(rare, "l_partkey").where("src <> l_orderkey").select("src", F.col("l_orderkey").alias("dst"))
-    return graph.connected_components(edges)
-
-
 @query("""
 WITH RECURSIVE s AS (SELECT l_partkey, min(l_orderkey) AS a FROM lineitem GROUP BY l_partkey),
 p AS (SELECT DISTINCT s.a, l.l_orderkey AS b FROM lineitem l JOIN s USING (l_partkey) WHERE s.a <> l.l_orderkey),
@@ -590,8 +577,8 @@ e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 r(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM e GROUP BY a
  UNION SELECT e.b, min(r.component) FROM r JOIN e ON e.a = r.node JOIN recurring.r AS k ON k.node = e.b WHERE r.component < k.component GROUP BY e.b)
 SELECT node, component FROM r""")
-def components_all(spark, sf_dir):
-    """Over every part: `components` and its SQL take those of 2 to 18 orders only."""
+def components(spark, sf_dir):
+    """Orders that share parts; a star per part joins the same orders as all pairs would."""
     li = t(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey").distinct()
     first = li.groupBy("l_partkey").agg(F.min("l_orderkey").alias("src"))
     return graph.connected_components(li.join(first, "l_partkey").select("src", F.col("l_orderkey").alias("dst")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.functions import vector as V
-from tessera.operators import cluster, curve, evidence, graph, matching, overlap, ownership, quantile, sequence, spatial, voting
+from tessera.operators import cluster, curve, evidence, graph, matching, ordered, overlap, ownership, quantile, sequence, spatial, voting
 from tessera.plans import more  # noqa: F401  registers its queries
 from tessera.plans import queries as plans
 
@@ -37,19 +37,21 @@ def test_matching_prefers_more_pairs(spark):
     assert pool.tp == 2 and pool.fp == 2 and pool.n_recall == 1
 
 
-def scenes(spark, pred):
-    sem = [0, 0, 0, 0, 0, 0, None, None]
-    inst = [1, 1, 1, 2, 2, 2, -1, -1]
-    gt = spark.createDataFrame([("a", k, None if s is None else "chair", i) for k, (s, i) in enumerate(zip(sem, inst))], "scene string, point long, class string, instance long")
-    p = spark.createDataFrame([("a", i, "chair", s, k) for i, s, pts in pred for k in pts], "scene string, prediction long, class string, score double, point long")
-    return {(r["class"], round(r.overlap, 2)): r.ap for r in curve.average_precision(gt, p, ["chair", "cup"], least=1).collect()}
+def boxes_ap(spark, found):
+    """AP of predictions (id, score, first cell, cells) on a strip of 30 cells with objects of 12, 9 and 3 cells."""
+    objects = [(5, "table", 0, 12), (6, "table", 14, 9), (7, "lamp", 25, 3)]
+    gt = [("strip", k, next((c for _, c, a, n in objects if a <= k < a + n), None), next((i for i, _, a, n in objects if a <= k < a + n), -1)) for k in range(30)]
+    pred = [("strip", i, "table", s, k) for i, s, a, n in found for k in range(a, a + n)]
+    gt = spark.createDataFrame(gt, "scene string, point long, class string, instance long")
+    pred = spark.createDataFrame(pred, "scene string, prediction long, class string, score double, point long")
+    return {(r["class"], round(r.overlap, 2)): r.ap for r in curve.average_precision(gt, pred, ["table", "lamp", "door"], least=1).collect()}
 
 
 def test_average_precision(spark):
-    perfect = scenes(spark, [(10, 0.9, [0, 1, 2]), (11, 0.8, [3, 4, 5])])
-    assert all(perfect["chair", round(t, 2)] == 1.0 for t in curve.OVERLAPS) and perfect["cup", 0.5] is None
-    merged = scenes(spark, [(10, 0.9, range(6))])
-    assert merged["chair", 0.25] == 0.5 and merged["chair", 0.5] == 0.0
+    exact = boxes_ap(spark, [(1, 0.4, 0, 12), (2, 0.6, 14, 9)])
+    assert all(exact["table", round(t, 2)] == 1.0 for t in curve.OVERLAPS) and exact["door", 0.5] is None and exact["lamp", 0.5] == 0.0
+    half = boxes_ap(spark, [(1, 0.7, 0, 8), (2, 0.9, 14, 9)])  # the first covers two thirds of its object
+    assert half["table", 0.5] == half["table", 0.65] == 1.0 and 0.4 < half["table", 0.7] < 1.0
 
 
 def test_step_ap_is_the_convolution(spark):
@@ -113,21 +115,50 @@ def test_extents(spark):
     assert got["o"].extents == pytest.approx([1, 4, 10]) and got["few"].extents == pytest.approx([0, 1, 2])
 
 
-def test_members_and_policies(spark):
-    obs = spark.createDataFrame([(c, g) for c, ids in (("I1", range(6)), ("I2", range(6)), ("I3", [6])) for g in ids], "c string, g long")
-    pairs = spark.createDataFrame([("I1", "I2"), ("I1", "I3")], "a string, b string")
-    none = spark.createDataFrame([], "g long")
-    assert sorted(r.g for r in overlap.supported_members(obs, none, pairs, "c", "g", "a", "b").collect()) == list(range(6))
-    assert sorted(r.g for r in overlap.supported_members(obs, spark.createDataFrame([(5,)], "g long"), pairs, "c", "g", "a", "b").collect()) == list(range(5))
-    mass = spark.createDataFrame([(v, g, x, 0.5) for v, row in enumerate([[0.25, 0.5, 0.4, 0.1], [0.25, 0.0, 0.4, 0.1]]) for g, x in enumerate(row)], "v int, g long, i double, s double")
-    assert {r.g: r.ratio for r in overlap.mass_members(mass, [], "g", "i", "s").collect()} == pytest.approx({0: 0.5, 1: 0.5, 2: 0.8})
-    labels = spark.createDataFrame([(k, x) for k, x in enumerate([8, 8, 4, 9, -1, 4])], "p long, i long")
-    declared = spark.createDataFrame([(8,), (4,), (-1,)], "i long")
-    assert [r.new for r in voting.normalized(labels, declared, "i").orderBy("p").collect()] == [1, 1, 0, -1, -1, 0]
+def test_supported_members_against_sets(spark):
+    r = np.random.default_rng(11)
+    for _ in range(3):
+        seen = {f"v{k}": set(r.integers(0, 25, 12).tolist()) for k in range(5)}
+        pairs = [("v0", "v3"), ("v4", "v1"), ("v2", "v2")]
+        bad = set(r.integers(0, 25, 4).tolist())
+        obs = spark.createDataFrame([(v, g) for v, ids in seen.items() for g in ids], "c string, g long")
+        links = spark.createDataFrame(pairs, "a string, b string")
+        no = spark.createDataFrame([(g,) for g in bad], "g long")
+        want = set().union(*(seen[a] & seen[b] for a, b in pairs)) - bad
+        for least in (0, len(want), len(want) + 1):
+            got = sorted(x.g for x in overlap.supported_members(obs, no, links, "c", "g", "a", "b", least).collect())
+            assert got == (sorted(want) if least <= len(want) else [])
+
+
+def test_mass_members_against_sums(spark):
+    r = np.random.default_rng(12)
+    rows = [(int(v), int(g), float(i), float(s)) for v, g, i, s in zip(r.integers(0, 4, 80), r.integers(0, 20, 80), r.uniform(0, 0.6, 80), r.uniform(0, 0.8, 80))]
+    sums = {}
+    for _, g, i, s in rows:
+        a, b = sums.get(g, (0.0, 0.0))
+        sums[g] = a + i, b + s
+    want = {g: i / s for g, (i, s) in sums.items() if i >= 0.5 and s > 0 and i / s >= 0.5}
+    mass = spark.createDataFrame(rows, "v int, g long, i double, s double")
+    assert len(want) > 3 and {x.g: x.ratio for x in overlap.mass_members(mass, [], "g", "i", "s").collect()} == pytest.approx(want)
+    assert overlap.mass_members(mass, [], "g", "i", "s", least=len(want) + 1).count() == 0
+
+
+def test_declared_labels_are_renumbered(spark):
+    r = np.random.default_rng(13)
+    raw, declared = r.integers(-2, 12, 60).tolist(), [11, 3, 6, -2, 40]
+    order = sorted(x for x in declared if x >= 0 and x in raw)
+    want = [order.index(x) if x in order else -1 for x in raw]
+    labels = spark.createDataFrame(list(enumerate(raw)), "p long, i long")
+    got = voting.normalized(labels, spark.createDataFrame([(x,) for x in declared], "i long"), "i").orderBy("p").collect()
+    assert [x.new for x in got] == want
     with pytest.raises(Exception):  # noqa: B017
         ownership.committed(labels, labels.unionAll(labels), "p", "i").collect()
-    boxes = spark.createDataFrame([("a", 1, 0.9, 0.0, 0.0, 10.0, 10.0), ("a", 2, 0.8, 0.0, 0.0, 10.0, 9.0), ("a", 3, 0.7, 20.0, 0.0, 30.0, 9.0)], "g string, id long, s double, x0 double, y0 double, x1 double, y1 double")
-    assert {r.id: r.kept for r in ownership.box_nms(boxes, "g", "id", "s").collect()} == {1: True, 2: False, 3: True}
+
+
+def test_box_suppression(spark):
+    boxes = [("q", 4, 0.31, 0.0, 0.0, 6.0, 6.0), ("q", 5, 0.85, 0.25, 0.0, 6.25, 6.0), ("q", 6, 0.55, 40.0, 8.0, 44.0, 20.0), ("r", 7, 0.2, 1.0, 0.0, 7.0, 6.0)]
+    df = spark.createDataFrame(boxes, "g string, id long, s double, x0 double, y0 double, x1 double, y1 double")
+    assert {x.id: x.kept for x in ownership.box_nms(df, "g", "id", "s").collect()} == {4: False, 5: True, 6: True, 7: True}
 
 
 def test_masks_and_chains(spark):
@@ -201,7 +232,7 @@ def test_components_take_parts_of_any_size(spark, tmp_path):
         for orders in parts.values():
             least = min(root[o] for o in orders)
             root |= {o: least for o in orders}
-    got = [(r.node, r.component) for r in plans.QUERIES["components_all"](spark, str(tmp_path)).collect()]
+    got = [(r.node, r.component) for r in plans.QUERIES["components"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted((o, c) for o, c in root.items() if o != 100)
 
 
@@ -231,8 +262,8 @@ def test_queries_take_all_rows(spark, tmp_path):
     items = [(s, p, 10.0) for s in (1, 2) for p in range(4)] + [(3, 9, 30.0)]
     spark.createDataFrame(items, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(1, "a", 5.0), (1, "a", -2.0), (1, "b", 3.0), (2, "a", 7.5)], "c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
-    assert [tuple(r) for r in plans.QUERIES["identity_pairs_all"](spark, str(tmp_path)).collect()] == [(1, 2, 4)]
-    got = {r.g: r.stable for r in plans.QUERIES["stable_improvement_all"](spark, str(tmp_path)).collect()}
+    assert [tuple(r) for r in plans.QUERIES["identity_pairs"](spark, str(tmp_path)).collect()] == [(1, 2, 4)]
+    got = {r.g: r.stable for r in plans.QUERIES["stable_improvement"](spark, str(tmp_path)).collect()}
     assert got == {"1/a": False, "1/b": True, "2/a": True}
 
 
@@ -242,3 +273,40 @@ def test_bootstrap_width_takes_all_draws(spark):
     rows = plans._by_nation(spark, at).withColumn("v", F.log("o_totalprice"))
     want = {r.n_name: round(r.width, 6) for r in quantile.bootstrap_width(rows, "n_name", "c_custkey", "v", 2000).collect()}
     assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_quantiles_do_not_depend_on_row_order(spark):
+    r = np.random.default_rng(5)
+    rows = [("g", float(v), float(w)) for v, w in [(1, 1), (2, 1), (2, 9), (3, 1)]] + [("h", float(v), 1.0) for v in r.integers(0, 6, 40)]
+    found = set()
+    for _ in range(3):
+        r.shuffle(rows)
+        df = spark.createDataFrame([(a, float(b), float(c)) for a, b, c in rows], "g string, v double, w double").repartition(3)
+        found.add(tuple(sorted(tuple(x) for x in quantile.weighted_quantiles(df, ["g"], "v", "w").collect())))
+    assert len(found) == 1
+    h = np.sort([float(v) for g, v, _ in rows if g == "h"])
+    want = np.interp(quantile.LEVELS, (np.arange(40) + 0.5) / 40, h)
+    assert next(x for x in found.pop() if x[0] == "h")[1:] == pytest.approx(want.tolist())
+
+
+def test_numbers_and_running_sums_over_ranges(spark):
+    r = np.random.default_rng(9)
+    rows = [(None if k % 17 == 0 else int(r.integers(0, 30)), k, float(k % 5)) for k in range(400)]
+    df = spark.createDataFrame(rows, "a long, k long, w double").repartition(7)
+    want = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    got = ordered.numbered(df, ["a", "k"], "n", {"s": "w"}).orderBy("n").collect()
+    assert [x.k for x in got] == [x[1] for x in want] and [x.n for x in got] == list(range(400))
+    assert [x.s for x in got] == pytest.approx(np.cumsum([x[2] for x in want]).tolist())
+    assert ordered.numbered(df.limit(0), ["a"]).count() == 0
+    test = sequence.held_out(df, ["a", "k"], 8).where("test").count()
+    assert test == 50
+
+
+def test_nearest_of_nulls_and_nothing(spark):
+    q = spark.createDataFrame([(1, 0.0), (2, None)], "id long, x double")
+    ref = spark.createDataFrame([(k, float(k)) for k in range(20)] + [(99, None)], "r long, x double")
+    got = sorted((x.id, x.rank or 0, x.r) for x in spatial.knn(q, ref, "id", "r", ["x"], 3, 0.5).collect())
+    assert got == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 0, None)]
+    assert [(x.id, x.r) for x in spatial.knn(q, ref.limit(0), "id", "r", ["x"], 3, 0.5).orderBy("id").collect()] == [(1, None), (2, None)]
+    with pytest.raises(ValueError):
+        spatial.knn(q.where("id = 1").withColumn("x", F.lit(1e9)), ref, "id", "r", ["x"], 3, 0.5, rounds=3)
