@@ -4,7 +4,7 @@ Tokens are runs of letters and digits, ASCII letters lower-cased (other characte
 mask selects some of its neighbours, so a seed still hits when an ignored token was substituted. The
 two masks hit every stretch of SPAN tokens with at most ERRORS substitutions. Around each hit the
 benchmark text is laid along the document and matches are counted: it overlaps where some SPAN
-neighbours have no more than ERRORS differences, or where a whole shorter text stands unchanged.
+neighbours have no more than ERRORS differences (places beyond a document's end differ), or where a whole shorter text stands unchanged.
 Benchmark texts under `least` tokens (LEAST unless told otherwise) are no evidence and never match; with a smaller
 `least`, texts too short for a mask are looked up as a whole.
 

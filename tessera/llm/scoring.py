@@ -3,10 +3,11 @@
 Two n-gram models, of the target's and of the background's documents, share one vocabulary (all words of both)
 and one form: a bigram estimate mixed with a unigram estimate that adds one to every count,
 
-    p(w | v) = MIX * c(v, w) / c(v) + (1 - MIX) * (c(w) + 1) / (N + V),
+    p(w | v) = MIX * c(v, w) / c(v) + (1 - MIX) * (r * c(w) + 1) / (r * N + V),
 
 where v is the word before (an empty word begins each document), the first term is 0 if c(v) is 0, N counts
-the model's tokens and V the words of either model. A token's loss is -log2 p; a document's score is the mean of target loss less background loss:
+the model's tokens and V the words of either model. The models are matched in size: r brings the larger one's counts
+down to the smaller one's tokens (r is 1 for the smaller one), so the added ones weigh the same in both. A token's loss is -log2 p; a document's score is the mean of target loss less background loss:
 the lower, the closer to the target. A document's own occurrences are taken off the counts of its own model
 first, so documents that trained a model are scored like others.
 
@@ -147,9 +148,9 @@ def score(docs: DataFrame, target: DataFrame, share: float = MIX) -> DataFrame:
     marks = target.select("doc_id").distinct().select(doc.alias("doc"), F.explode(to).alias("grp"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("mark"))
     rows = docs.select(doc.alias("doc"), grp.alias("grp"), "text", F.lit(False).alias("mark")).unionAll(marks)
 
-    def loss(c_pair, c_before, c_word, n):
+    def loss(c_pair, c_before, c_word, n, v, r):
         known = np.where(c_before > 0, c_pair / np.maximum(c_before, 1), 0.0)
-        return -np.log2(share * known + (1 - share) * (c_word + 1) / n)
+        return -np.log2(share * known + (1 - share) * (r * c_word + 1) / (r * n + v))
 
     def shifted(of_word: np.ndarray, first: np.ndarray, start) -> np.ndarray:
         out = np.concatenate([of_word[:1], of_word[:-1]])
@@ -172,7 +173,7 @@ def score(docs: DataFrame, target: DataFrame, share: float = MIX) -> DataFrame:
                 own_before = shifted(own_word, first, 1)
                 for k, (c, n, mine) in enumerate(((counts[0], n_on, target), (counts[1], n_off, ~target))):
                     m = mine[d]
-                    each = loss(c[at_pair] - own_pair * m, c[at_before] - own_before * m, c[at_word] - own_word * m, n + v - n_own[d] * m)
+                    each = loss(c[at_pair] - own_pair * m, c[at_before] - own_before * m, c[at_word] - own_word * m, n - n_own[d] * m, v, min(n_on, n_off) / max(n, 1))
                     mean[k] = np.bincount(d, each, minlength=b.num_rows) / np.maximum(n_own, 1)
             ids = b.column("doc").to_numpy()
             out.append(pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NO_ID), pa.array(n_own.astype(np.int64)), *(pa.array(m, mask=n_own == 0) for m in mean)], schema=_OUT))

@@ -23,14 +23,16 @@ def brute(doc, item, least=d.LEAST):
     w = min(d.SPAN, len(b))
     need = w - d.ERRORS * (w == d.SPAN)
     found = []
-    for line in range(w - len(b), len(a) - w + 1):
-        good = [j for j in range(len(b) - w + 1) if 0 <= line + j <= len(a) - w and sum(x == y for x, y in zip(a[line + j : line + j + w], b[j : j + w])) >= need]
+    for line in range(-len(b), len(a) + 1):
+        same = [0 <= line + j < len(a) and a[line + j] == b[j] for j in range(len(b))]
+        good = [j for j in range(len(b) - w + 1) if sum(same[j : j + w]) >= need]
         covered = sorted({k for j in good for k in range(j, j + w)})
         while covered:
             n = 1
             while n < len(covered) and covered[n] == covered[0] + n:
                 n += 1
-            found.append((-n, -sum(a[line + k] == b[k] for k in covered[:n]), line + covered[0]))
+            lo, hi = max(0, line + covered[0]), min(len(a), line + covered[0] + n)
+            found.append((lo - hi, -sum(same[k] for k in covered[:n]), lo))
             covered = covered[n:]
     if not found:
         return None
@@ -48,7 +50,8 @@ def test_against_brute_force(spark):
         w = items[r.randrange(30)][1].split()
         for _ in range(r.randint(0, 3)):
             w[r.randrange(len(w))] = "other"
-        docs.append((100 + k, f"{text(5)}, {' '.join(w).upper()}! {text(5)}"))
+        docs.append((100 + k, f"{text(5)}, {' '.join(w).upper()}! {text(5)}" if k % 3 else " ".join(w[k % 2 + 1 :])))
+    docs += [(200 + k, f"a {u}. b") for k, u in items if u and len(u.split()) < d.LEAST]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS item_id", "'y' AS start")
     bench = spark.createDataFrame(items, "item_id long, text string")
     pairs = sorted((a, i, *brute(t, u), len(toks(u))) for a, t in docs for i, u in items if brute(t, u))

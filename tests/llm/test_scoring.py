@@ -21,12 +21,14 @@ def brute(docs, target, share=scoring.MIX):
         ou, ob, oc = count(w)
         for side in (True, False):
             mine = side == (d in target)
+            sizes = [sum(uni[s].values()) for s in (True, False)]
+            r = min(sizes) / max(1, sum(uni[side].values()))
             n = sum(uni[side].values()) - mine * len(w)
             loss = 0
             for a, b in zip([""] + w, w):
                 ca = ctx[side][a] - mine * oc[a]
                 known = (bi[side][a, b] - mine * ob[a, b]) / ca if ca > 0 else 0
-                loss -= math.log2(share * known + (1 - share) * (uni[side][b] - mine * ou[b] + 1) / (n + v))
+                loss -= math.log2(share * known + (1 - share) * (r * (uni[side][b] - mine * ou[b]) + 1) / (r * n + v))
             row.append(loss / len(w) if w else None)
         out.append((d, len(w), *row))
     return out
