@@ -4,13 +4,13 @@ An arrival is appended as it comes: each task writes a small immutable shard (a
 Compaction puts shards into tiers by their bytes of text (tier 0 below BASE, each next one FAN times larger),
 merges every FAN neighbouring shards of one tier into one of a higher tier, lowest tier first, and leaves
 shards of TARGET bytes or more alone. All merges of a compaction are worked out on the manifest first, so a
-row is rewritten once however many tiers it climbs. Merged rows are rebalanced by shard: Spark splits what
-is too large for a file, so no task holds a whole shard.
+row is rewritten once however many tiers it climbs. A merged shard is written as files of about TARGET bytes of text each:
+the manifest says how many, a row goes to one of them by its number in its source file, and each file is one task.
 
 A version of the manifest is a JSON file that lists the live shards (name, files, rows, bytes, checksum, tier).
 It is written beside its place and renamed onto it, which fails if another writer has committed that version;
-readers see whole versions only. Counts and checksums of merged shards are compared with their sources
-before the commit. Files that no manifest lists any more stay until vacuum().
+readers see whole versions only. Counts and checksums (of all columns) of what was written are taken by reading it
+back, and those of merged shards compared with their sources before the commit. Files that no manifest lists any more stay until vacuum().
 
 Rows are kept as they are: nulls, repeated rows, empty texts and further columns included (a null text counts 0
 bytes). Of an empty table a version without shards is committed.
@@ -18,6 +18,9 @@ bytes). Of an empty table a version without shards is committed.
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import itertools
 import json
 import uuid
 from dataclasses import asdict, dataclass
@@ -52,20 +55,31 @@ def tier(size: int, base: int = BASE, fan: int = FAN) -> int:
 
 def plan(sizes: list[int], base: int = BASE, fan: int = FAN, target: int = TARGET) -> list[list[int]]:
     """Which shards (by place, in order of arrival) are one after compaction."""
-    live = [([k], s) for k, s in enumerate(sizes)]
-    while True:
-        by_tier: dict[int, list[int]] = {}
-        for k, (_, s) in enumerate(live):
-            if s < target:
-                by_tier.setdefault(tier(s, base, fan), []).append(k)
-        full = [t for t, x in sorted(by_tier.items()) if len(x) >= fan]
-        if not full:
-            return [m for m, _ in live]
-        take = by_tier[full[0]][:fan]
-        merged = (sorted(i for k in take for i in live[k][0]), sum(live[k][1] for k in take))
-        live = [x for k, x in enumerate(live) if k not in take]
-        live.append(merged)
-        live.sort(key=lambda x: x[0][0])
+    live: dict[int, tuple[list[int], int]] = {}
+    tiers: dict[int, list[int]] = {}  # first places of the shards that may be merged, in order
+    full: list[int] = []
+
+    def put(places: list[int], size: int) -> None:
+        live[places[0]] = (places, size)
+        if size < target:
+            t = tier(size, base, fan)
+            bisect.insort(tiers.setdefault(t, []), places[0])
+            if len(tiers[t]) == fan:
+                heapq.heappush(full, t)
+
+    def merge() -> None:
+        t = full[0]
+        take, tiers[t] = tiers[t][:fan], tiers[t][fan:]
+        if len(tiers[t]) < fan:
+            heapq.heappop(full)
+        old = [live.pop(k) for k in take]
+        put(sorted(i for places, _ in old for i in places), sum(x for _, x in old))
+
+    for k, s in enumerate(sizes):
+        put([k], s)
+    while full:
+        merge()
+    return [places for _, (places, _) in sorted(live.items())]
 
 
 class Store:
@@ -115,7 +129,9 @@ class Store:
         """The shards that were just written below a folder: a file each, or a value of column `by` each."""
         rows = self.spark.read.parquet(at)
         size = F.coalesce(F.octet_length(F.col(self.text).cast("binary")), F.lit(0))
-        check = F.sum(F.xxhash64(*[F.to_json(F.struct(self.text, self.key))]) % 1_000_003)
+        plain = [c for c, k in rows.dtypes if c != by and "map<" not in k and k != "variant"]
+        nulls = F.concat(*[F.isnull(c).cast("int").cast("string") for c in sorted(plain)])
+        check = F.sum(F.xxhash64(nulls, *sorted(plain)) % 1_000_003)
         file = F.col("_metadata.file_path")
         keys = [file.alias("file")] + ([F.col(by).alias("name")] if by else [])
         found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"), check.alias("c"), F.min(self.key).alias("least")).collect()  # a row for each file
@@ -146,12 +162,16 @@ class Store:
         if not merged:
             return before
         names = {g[0]: f"m{before + 1:06d}-{k:06d}" for k, g in enumerate(merged)}
-        of = [(f, names[g[0]]) for g in merged for k in g for f in live[k].files]
-        to = self._names(of, f"_file string, {_SHARD} string")
-        sources = self.spark.read.parquet(*[f for f, _ in of])
-        rows = sources.withColumn("_file", F.col("_metadata.file_path")).join(to, "_file").drop("_file")
+        size = {g[0]: max(1, -(-sum(live[k].bytes for k in g) // target)) for g in merged}  # files
+        first = dict(zip(size, itertools.accumulate([0, *size.values()])))
+        of = [(f, names[g[0]], size[g[0]], first[g[0]]) for g in merged for k in g for f in live[k].files]
+        to = self._names(of, f"_file string, {_SHARD} string, _of int, _first int")
+        sources = self.spark.read.parquet(*[x[0] for x in of])
+        place = (F.col("_first") + F.pmod("_row", F.col("_of"))).cast("int")
+        rows = sources.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}).join(to, "_file").withColumn("_place", place)
+        rows = rows.repartitionById(sum(size.values()), "_place").select(*sources.columns, _SHARD)
         at = f"{workspace_name(self.root + '/data')}"
-        rows.hint("rebalance", _SHARD).write.option("compression", "zstd").partitionBy(_SHARD).parquet(at)
+        rows.write.option("compression", "zstd").partitionBy(_SHARD).parquet(at)
         made = {s.name: s for s in self._measured(at, _SHARD)}
         out = []
         for g in groups:

@@ -54,3 +54,42 @@ def test_query(spark):
     assert sharding.sharded(df.limit(0)).count() == 0
     clash = df.selectExpr("*", "1 AS shard", "'t' AS tier")
     assert {r.tier for r in sharding.sharded(clash).collect()} == {0}
+
+
+def slow_plan(sizes, base, fan, target):
+    live = [([k], s) for k, s in enumerate(sizes)]
+    while True:
+        by_tier = {}
+        for k, (_, s) in enumerate(live):
+            if s < target:
+                by_tier.setdefault(sharding.tier(s, base, fan), []).append(k)
+        full = sorted(t for t, x in by_tier.items() if len(x) >= fan)
+        if not full:
+            return [m for m, _ in live]
+        take = by_tier[full[0]][:fan]
+        merged = (sorted(i for k in take for i in live[k][0]), sum(live[k][1] for k in take))
+        live = sorted([x for k, x in enumerate(live) if k not in take] + [merged])
+
+
+def test_plan_against_rescans():
+    r = random.Random(7)
+    for _ in range(40):
+        sizes = [r.choice([0, 1, 5, 40, 300, 2000]) for _ in range(r.randrange(60))]
+        assert sharding.plan(sizes, 10, 3, 1000) == slow_plan(sizes, 10, 3, 1000)
+    assert len(sharding.plan([1] * 200_000, 10, 4, 10**9)) < 40
+
+
+def test_files_have_the_target_size(spark):
+    docs = spark.createDataFrame([(k, "x" * 100, k % 3 or None) for k in range(4000)], "doc_id long, text string, more long").repartition(40)
+    store = sharding.Store(spark, sharding.workspace(spark, "target"))
+    store.append(docs)
+    store.compact(10_000, 4, 30_000)
+    big = [s for s in store.manifest() if s.name.startswith("m")]
+    assert big and all(len(s.files) == -(-s.bytes // 30_000) for s in big)
+    back = store.read().select("doc_id", "text", "more")
+    assert back.count() == 4000 and back.exceptAll(docs).count() == 0
+    checks = [s.check for s in store.manifest()]
+    other = sharding.Store(spark, sharding.workspace(spark, "other"))
+    other.append(docs.selectExpr("doc_id", "text", "coalesce(more, 0) AS more"))
+    other.compact(10_000, 4, 30_000)
+    assert checks != [s.check for s in other.manifest()]
