@@ -67,12 +67,21 @@ def crc_of_id(col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")))
 
 
+#: A worker keeps its compressors: one for each blob would take a megabyte and more each time.
+_packers: dict[int, zstandard.ZstdCompressor] = {}
+_unpacker: list[zstandard.ZstdDecompressor] = []
+
+
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(arrays, protocol=5))
+    if level not in _packers:
+        _packers[level] = zstandard.ZstdCompressor(level=level)
+    return _packers[level].compress(pickle.dumps(arrays, protocol=5))
 
 
 def unpack(blob: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    if not _unpacker:
+        _unpacker.append(zstandard.ZstdDecompressor())
+    return pickle.loads(_unpacker[0].decompress(blob))
 
 
 def slices(batch: pa.RecordBatch | pa.Table, text: str = "text", limit: int = CHUNK, most: int = 1 << 30) -> Iterator[pa.RecordBatch]:
