@@ -343,7 +343,7 @@ def test_nearest_of_copies_and_clusters(spark):
         assert sorted(got[i]) == [(n + 1, x, j, f"l{j % 3}") for n, (x, j) in enumerate(d)]
 
 
-@pytest.mark.parametrize("name", ["knn_smoothing", "knn_vote"])
+@pytest.mark.parametrize("name", ["knn_smoothing", "knn_vote", "knn_join"])
 def test_nearest_compares_few_rows(spark, tmp_path, name):
     """6,000 parts on 60 places, 4,000 customers and suppliers in a narrow range: no join makes a good part of all pairs."""
     spark.range(6000).selectExpr("id AS p_partkey", "cast(id % 20 as int) AS p_size", "cast(900 + id % 3 as double) AS p_retailprice", "concat('b', id % 7) AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
