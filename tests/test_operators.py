@@ -396,6 +396,15 @@ def test_votes_of_a_narrow_range(spark):
     assert len(got) == len(xy) and most < 400_000, most
 
 
+def test_nearest_of_places_outside_the_range(spark, tmp_path):
+    """2,000 customers far beyond 2,000 suppliers: compared with those at the border."""
+    spark.range(2000).selectExpr("id AS c_custkey", "1e6 + id AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(2000).selectExpr("id AS s_suppkey", "cast(id AS double) AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    got, most = most_rows(spark, lambda: plans.QUERIES["knn_join"](spark, str(tmp_path)).collect())
+    assert sorted(tuple(x) for x in got) == [(c, k, 2000 - k, 1e6 + c - 2000 + k) for c in range(2000) for k in range(1, 6)]
+    assert most < 400_000, most
+
+
 def test_rates_of_copies_nulls_and_ids_that_come_twice(spark):
     r = np.random.default_rng(33)
     xy = np.concatenate([np.repeat(r.integers(0, 5, (12, 2)), 6, 0), r.uniform(0, 9, (40, 2))]).astype(float)
